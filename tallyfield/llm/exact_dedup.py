@@ -1,7 +1,8 @@
 """Exact deduplication by content sort, DataFrame operations only.
 
-Normalised texts are range-partitioned by sampled splitters and sorted outside memory, so that
-equal texts become neighbours and a sort aggregate compares neighbours in full. A text that
+Normalised texts are range-partitioned by sampled splitters (leading characters, then a hash,
+so that samples stay short) and sorted outside memory by these and the whole text; equal texts
+become neighbours, and a sort aggregate compares neighbours in full. A text that
 would outgrow a partition (found by a count of 64-bit hashes, which only balances load) skips
 the range shuffle: its copies are first aggregated where they are read.
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, id_and_text, named, partitions
 
 
+#: Leading code points that splitters compare; beyond them a hash does, then the whole text.
+HEAD = 32
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", "")
 
@@ -43,7 +48,10 @@ def sorted_groups(docs: DataFrame, text_col: str, aggregates: list[Column]) -> D
     hot = frequent_hashes(docs, text, parts)
     is_hot = F.xxhash64(normalised(text)).isin(hot) if hot else F.lit(False)
     rest = docs.where(~is_hot) if hot else docs
-    groups = rest.repartitionByRange(parts, normalised(text)).groupBy(normalised(text).alias("norm")).agg(*aggregates)
+    norm = normalised(text)
+    splitters = [F.substring(norm, 1, HEAD), F.xxhash64(norm)]  # what the driver samples stays short
+    ordered = rest.repartitionByRange(parts, *splitters).groupBy(splitters[0].alias("head"), splitters[1].alias("tail"), norm.alias("norm"))
+    groups = ordered.agg(*aggregates).drop("head", "tail")
     if hot:
         groups = groups.unionByName(docs.where(is_hot).groupBy(normalised(text).alias("norm")).agg(*aggregates))
     return groups
