@@ -132,7 +132,7 @@ def encode_long(texts: DataFrame, path: str, long_chars: int) -> DataFrame:
     """(key, ids) of distinct long texts (key, text), by tree concatenation."""
     size = F.char_length("text")
     levels = F.ceil(F.log2(size / F.lit(float(long_chars)))).cast("int")
-    pieces = F.shiftleft(F.lit(1), F.greatest(levels, F.lit(1)))
+    pieces = F.pow(F.lit(2.0), F.greatest(levels, F.lit(1)))
     step = F.ceil(size / pieces).cast("int")
     rows = texts.select("key", "text", F.explode(F.sequence(F.lit(0), F.ceil(size / step).cast("int") - 1)).alias("k"), step.alias("step"), size.alias("size"))
     rows = rows.select("key", (F.col("k") * F.col("step")).alias("start"), F.least((F.col("k") + 1) * F.col("step"), "size").alias("end"), F.substring("text", F.col("k") * F.col("step") + 1, F.col("step")).alias("piece"))

@@ -1,5 +1,6 @@
 """BPE and packing against whole-text encoding and round trips."""
 
+import functools
 import hashlib
 import zlib
 from collections import defaultdict
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from tallyfield.llm import bpe, packing, tokens
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+load = functools.cache(tokens.load)
 ODD = [None, "", " ", "a", "  two  spaces\n\n end ", "It's <|endoftext|> I'LL  é é \u0085 x\x1cy", "tabs\tand\nlines\n \n x", "日本語 テキスト 🙂🙂", "repeat", "repeat"]
 
 
@@ -24,7 +26,7 @@ def docs(spark):
 
 
 def expected(text):
-    t = tokens.load(WORD)
+    t = load(WORD)
     ids = t.encode(text or "", add_special_tokens=False).ids
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))
@@ -37,7 +39,7 @@ def test_bpe_matches_whole_text_encoding(spark, docs):
 
 
 def test_bpe_ids_and_decoding(spark, docs):
-    t = tokens.load(WORD)
+    t = load(WORD)
     encoded = bpe.encode_documents(docs, WORD, long_chars=4096)
     want = {r.doc_id: t.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
     assert {r.doc_id: r.ids for r in encoded.collect()} == want
@@ -47,7 +49,7 @@ def test_bpe_ids_and_decoding(spark, docs):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abtheingon'sl!?1 é́日\n", min_size=2, max_size=120), st.data())
 def test_joined_halves_equal_the_whole(text, data):
-    t = tokens.load(WORD)
+    t = load(WORD)
     cut = data.draw(st.integers(1, len(text) - 1))
     left, right = bpe.encode_spans(t, text[:cut]), bpe.encode_spans(t, text[cut:], cut)
     assert bpe.join_spans(t, text, left, right, 0, len(text)).ids == t.encode(text, add_special_tokens=False).ids
@@ -57,14 +59,14 @@ def test_joined_halves_equal_the_whole(text, data):
 @given(st.text(alphabet="ab'sl!1 \n\té \x1c<|endoftxt>", max_size=60))
 def test_chunks_keep_encodings(text):
     for path, prefix in ((WORD, ""), (BYTE, " ")):
-        t = tokens.load(path)
+        t = load(path)
         parts = tokens.chunks(text)
         ids = [t.encode((prefix if k else "") + p, add_special_tokens=False).ids for k, p in enumerate(parts)]
         assert sum(ids, []) == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark, docs):
-    t = tokens.load(BYTE)
+    t = load(BYTE)
     packed = packing.pack_documents(docs, BYTE, with_ids=True)
     rows = packed.collect()
     pieces, seqs = defaultdict(list), defaultdict(list)
