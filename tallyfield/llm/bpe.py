@@ -82,9 +82,7 @@ def fold(tokenizer, text: str, parts: list[tuple[int, int, Spans]]) -> Spans:
 
 def digests_of(path: str, out_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.load(path)
-        names = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
-        ids_of = tokens.ChunkCache(tokenizer, lambda e: ("".join(f"{i} " for i in e.ids), "".join(f"{names[i]} " for i in e.ids)))
+        ids_of = tokens.id_texts(path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             rows: list[tuple] = []
