@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def fold(tokenizer, text: str, parts: list[tuple[int, int, Spans]]) -> Spans:
 
 def digests_of(path: str, out_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = tokens.id_texts(path)
+        ids_of, (digits, names) = tokens.chunk_cache(path), tokens.id_names(path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             rows: list[tuple] = []
@@ -90,12 +91,12 @@ def digests_of(path: str, out_ids: bool):
                 parts = [tokens.chunks(t) for t in some]
                 held = ids_of.learn(set().union(*parts))
                 for p in parts:
-                    values = [held[x] for x in p]
-                    ids = "".join([v[0] for v in values])[:-1]
+                    ids = np.frombuffer(b"".join([held[x] for x in p]), "<u4")
                     if out_ids:
-                        rows.append(([int(x) for x in ids.split()],))
+                        rows.append((ids.astype(np.int32),))
                     else:
-                        rows.append((ids.count(" ") + 1 if ids else 0, sha(ids), sha("".join([v[1] for v in values])[:-1])))
+                        listed = ids.tolist()
+                        rows.append((len(listed), sha(" ".join([digits[i] for i in listed])), sha(" ".join([names[i] for i in listed]))))
             columns = list(zip(*rows, strict=True)) if rows else [()] * (1 if out_ids else 3)
             kinds = [pa.list_(pa.int32())] if out_ids else [pa.int64(), pa.string(), pa.string()]
             fields = ["ids"] if out_ids else ["n_tokens", "ids_sha256", "decoded_sha256"]

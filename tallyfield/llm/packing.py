@@ -32,7 +32,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def cut_pieces(path: str, width: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rest = tokens.id_bytes(path), tokens.id_bytes(path, " ")
+        first, rest = tokens.chunk_cache(path), tokens.chunk_cache(path, " ")
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

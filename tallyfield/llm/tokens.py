@@ -39,59 +39,102 @@ def chunks(text: str) -> list[str]:
     return BREAK.split(text) if DOUBLE.search(text) else text.split(" ")
 
 
-def word_encoder(path: str):
-    """The same vocabulary for a library that is faster on words, or None where it isn't the same.
+def vocabulary(path: str) -> tuple[dict, dict[str, int], dict[str, int]] | None:
+    """The file, its tokens, and the byte each of their characters stands for.
 
-    It is where the file has byte-level BPE over the usual pattern and ids follow the merges.
+    None where ids don't follow the order of merges, as then ids aren't ranks.
     """
-    import tiktoken
-
     spec = json.loads(Path(path).read_text())
     vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-    if spec["normalizer"] or spec["pre_tokenizer"].get("type") != "ByteLevel" or any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(pairs)):
+    ids = [vocab.get(a.removesuffix("</w>") + b if a.endswith("</w>") else a + b, -1) for a, b in pairs]
+    if ids != list(range(ids[0], ids[0] + len(ids))) or max(vocab[t] for t in vocab if len(t.removesuffix("</w>")) == 1) >= ids[0]:
         return None
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = dict(zip(map(chr, printable), printable, strict=True))
     shown.update((chr(256 + k), b) for k, b in enumerate(b for b in range(256) if b not in set(printable)))
     special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(shown[c] for c in token): i for token, i in vocab.items() if token not in special}
-    return tiktoken.Encoding("words", pat_str=r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
+    return spec, {t: i for t, i in vocab.items() if t not in special}, shown
+
+
+class QuickBytes:
+    """Words for a byte-level vocabulary, with a library that is faster on new words; ids are the same."""
+
+    plain = PLAIN
+
+    def __init__(self, tokens: dict[str, int], shown: dict[str, int]):
+        import tiktoken
+
+        ranks = {bytes(shown[c] for c in t): i for t, i in tokens.items()}
+        pattern = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.newline = self.encoding.encode_ordinary("\n")[0]
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        ids = np.array(self.encoding.encode_ordinary("\n".join(words)), "<u4")
+        return [own[own != self.newline] for own in np.split(ids, np.flatnonzero(ids == self.newline))]
+
+
+class QuickLetters:
+    """Latin words for a vocabulary with word ends: a zero byte stands for the end, which merges first."""
+
+    plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+    def __init__(self, tokens: dict[str, int], shown: dict[str, int]):
+        import tiktoken
+
+        ranks = {bytes(shown[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>"): i for t, i in tokens.items() if "Ā" not in t}
+        ranks[b"\0"] = tokens["Ā"]
+        self.encoding = tiktoken.Encoding("letters", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+
+    def encode(self, words: list[str]) -> list[np.ndarray]:
+        ids = np.array(self.encoding.encode_ordinary("\0".join(words).lower() + "\0"), "<u4")
+        return np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
+
+
+def quick_words(path: str) -> QuickBytes | QuickLetters | None:
+    found = vocabulary(path)
+    if not found:
+        return None
+    spec, tokens, shown = found
+    if spec["normalizer"] is None and spec["pre_tokenizer"].get("type") == "ByteLevel":
+        return QuickBytes(tokens, shown)
+    if spec["model"]["end_of_word_suffix"] == "</w>" and {n["type"] for n in spec["normalizer"]["normalizers"]} == {"NFC", "Replace", "Lowercase"}:
+        return QuickLetters(tokens, shown)
+    return None
 
 
 class ChunkCache:
-    """``value(ids)`` of every chunk, computed once; ``prefix`` is put before each chunk.
+    """Every chunk as little-endian 32-bit ids, computed once; ``prefix`` is put before each chunk.
 
     Letters that marks follow are encoded apart from the marks, which are rare in kind: no token
     crosses from one to the other. Beyond ``limit`` chunks the later half is forgotten, which
     changes speed alone; what came first is what is frequent.
     """
 
-    def __init__(self, tokenizer, value, join, prefix: str = "", limit: int = 1_200_000, words=None):
-        self.tokenizer, self.value, self.join, self.prefix, self.limit, self.words = tokenizer, value, join, prefix, limit, words
-        self.newline = words and words.encode_ordinary("\n")[0]
-        self.held: dict[str, object] = {}
-        self.marks: dict[str, object] = {}
-
-    def encode(self, texts: list[str]) -> list:
-        return list(map(self.value, self.ids(texts)))
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. Where a line feed is a token of its own, plain words share a call."""
-        if self.words is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out: list[list[int]] = [[] for _ in texts]
-        plain = [k for k, t in enumerate(texts) if PLAIN.fullmatch(t)]
+    def __init__(self, path: str, prefix: str = "", limit: int = 1_000_000):
+        self.tokenizer, self.quick, self.prefix, self.limit = load(path), quick_words(path), prefix, limit
+        self.held: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self.ids(texts)]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; plain words share a call."""
+        out: list = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if self.quick.plain.fullmatch(t)] if self.quick else []
         for some in slices(plain, 4096):
-            ids = np.array(self.words.encode_ordinary("\n".join([texts[k] for k in some])), "<u4")
-            for k, own in zip(some, np.split(ids, np.flatnonzero(ids == self.newline)), strict=True):
-                out[k] = own[own != self.newline]
-        rest = sorted(set(range(len(texts))).difference(plain))
+            for k, own in zip(some, self.quick.encode([texts[k] for k in some]), strict=True):
+                out[k] = own
+        rest = [k for k, x in enumerate(out) if x is None]
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, "<u4")
         return out
 
-    def learn(self, parts: set[str]) -> dict[str, object]:
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
         if len(self.held) > self.limit:
             self.held = dict(itertools.islice(self.held.items(), self.limit // 2))
         held, marks = self.held, self.marks
@@ -102,25 +145,22 @@ class ChunkCache:
         marks.update(zip(tails, self.encode(list(tails)), strict=True))
         for x, m in cut.items():
             if m:
-                held[x] = self.join(held[m[1]], marks[m[2]])
+                held[x] = held[m[1]] + marks[m[2]]
         return held
 
 
 @functools.cache
-def id_bytes(path: str, prefix: str = "") -> ChunkCache:
-    """Chunks as little-endian 32-bit ids; one cache for each worker process."""
-    tokenizer = load(path)
-    value = lambda ids: np.asarray(ids, "<u4").tobytes()
-    return ChunkCache(tokenizer, value, lambda a, b: a + b, prefix, words=word_encoder(path))
+def chunk_cache(path: str, prefix: str = "") -> ChunkCache:
+    """One cache for each worker process."""
+    return ChunkCache(path, prefix)
 
 
 @functools.cache
-def id_texts(path: str) -> ChunkCache:
-    """Chunks as (decimal ids, token strings), a space after each."""
+def id_names(path: str) -> tuple[list[str], list[str]]:
+    """For each id its decimal digits and its token."""
     tokenizer = load(path)
-    names = [f"{tokenizer.id_to_token(i)} " for i in range(tokenizer.get_vocab_size())]
-    value = lambda ids: ("".join([f"{i} " for i in ids]), "".join([names[i] for i in ids]))
-    return ChunkCache(tokenizer, value, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    size = tokenizer.get_vocab_size()
+    return [str(i) for i in range(size)], [tokenizer.id_to_token(i) for i in range(size)]
 
 
 def slices(items: list, most: int):

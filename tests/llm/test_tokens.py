@@ -65,6 +65,15 @@ def test_chunks_keep_encodings(text):
         assert sum(ids, []) == t.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abtheingonsß<É́é日🙂'1!\x00\n", min_size=1, max_size=12), min_size=1, max_size=20))
+def test_cached_chunks_equal_single_encodings(words):
+    for path, prefix in ((WORD, ""), (BYTE, " "), (BYTE, "")):
+        t, held = load(path), tokens.chunk_cache(path, prefix).learn(set(words))
+        for w in words:
+            assert np.frombuffer(held[w], "<u4").tolist() == t.encode(prefix + w, add_special_tokens=False).ids, (path, prefix, w)
+
+
 def test_packing_round_trip(spark, docs):
     t = load(BYTE)
     packed = packing.pack_documents(docs, BYTE, with_ids=True)
