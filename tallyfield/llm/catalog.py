@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, media, packing, substring_dedup, suffix_dedup, toxicity
+from . import bpe, exact_dedup, language_id, media, packing, pii, substring_dedup, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,6 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
