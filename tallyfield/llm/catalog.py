@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, media, packing, pii, substring_dedup, suffix_dedup, toxicity
+from . import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, substring_dedup, suffix_dedup, toxicity
 from .common import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=3, percent=85, bands=24, rows=5)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.word_digests(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,

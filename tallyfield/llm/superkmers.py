@@ -55,7 +55,7 @@ def grams(symbols: np.ndarray, m: int) -> np.ndarray:
         if 2 * have > m:
             return out[: max(0, len(symbols) - m + 1)]
         n = len(total) - have
-        total, have, power = total[:n] * power + total[have : have + n], 2 * have, power * power
+        total, have, power = total[:n] * power + total[have : have + n], 2 * have, np.uint64(int(power) ** 2 % (1 << 64))
 
 
 def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
