@@ -11,8 +11,8 @@ medoid, the member that agrees on most bands. A member that isn't linked to it,
 that is, can only be linked to another member through what both differ in from the medoid, so
 such links are counted exactly by a join on these differences; members that aren't linked to the
 medoid form a bucket of their own in the next round. Only buckets of up to ``SMALL`` members are
-compared pairwise. Nothing is capped: rounds end when no bucket is left, or with a join on all
-differences.
+compared pairwise. Nothing is capped: rounds end when no bucket is left, or with the pairs that
+share one of the shingles that are rarest in their bucket, as many as every link must share.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked
 with nothing. Fewer words than a shingle make one shingle. Rows that share an id are one
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_and_text, named
 from .superkmers import Words, grams, mixed
 
-SMALL, ROUNDS, BLOCK = 4, 4, 1 << 16
+SMALL, ROUNDS, BLOCK = 4, 3, 1 << 16
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 VERIFIED = "rep long, member long, hot boolean, n_rep long, n_member long, n_both long, differences array<long>"
 
@@ -155,38 +155,85 @@ def compared(members: DataFrame, score: DataFrame) -> DataFrame:
     return star.unionByName(few).groupBy("rep", "member").agg(F.max("hot").alias("hot"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in the edges (rep, member): the smallest id it can reach."""
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, component) of every id in the edges (rep, member): the smallest id it can reach.
+
+    After ``most`` steps, labels may still differ inside a component; equal ones are right.
+    """
     both = edges.select(F.col("rep").alias("id"), F.col("member").alias("other")).unionByName(edges.select(F.col("member").alias("id"), F.col("rep").alias("other")))
     both = checkpointed(both.distinct())
     labels = checkpointed(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
-    while True:
+    number = 0
+    while most is None or number < most:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = checkpointed(step.join(jump, "component").select("id", "was", F.least("component", "further").alias("component")))
+        new = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        if number:  # chains: double the distance that labels have come
+            jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+            new = new.join(jump, "component").select("id", "was", F.least("component", "further").alias("component"))
+        new = checkpointed(new)
         labels = new.select("id", "component")
         if new.where("component < was").isEmpty():
-            return labels
+            break
+        number += 1
+    return labels
+
+
+def reach(percent: int) -> int:
+    """Below this, a set can't be linked to one that is linked to the medoid: distances add up at most."""
+    return max(0, 2 * percent - 100)
 
 
 def is_linked(percent: int) -> Column:
     return F.col("n_both") * 100 >= percent * (F.col("n_rep") + F.col("n_member") - F.col("n_both"))
 
 
-def by_differences(verified: DataFrame, failed: DataFrame, percent: int, among_failed: bool) -> DataFrame:
-    """Links (rep, member) between failed members and those linked to (or all of) the same medoid.
+def rarest(rows: DataFrame, shown: Column, *also: str) -> DataFrame:
+    """Of rows (key, id, e), for each id the ``shown`` elements that are rarest in their bucket, if another has them."""
+    several = rows.groupBy("key", "e").agg(F.count("*").alias("held")).where("held > 1")
+    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "e"))).alias("found")
+    ranked = rows.join(several, ["key", "e"], "left").groupBy("key", "id").agg(by_rarity, *[F.first(c).alias(c) for c in also])
+    first = F.slice("found", F.lit(1), shown.cast("int"))
+    return ranked.select("key", "id", *also, F.explode(F.filter(first, lambda x: x["held"] > 1)["e"]).alias("e"))
+
+
+def by_differences(verified: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (rep, member, hot) of failed members and those linked to the same medoid that may be linked.
 
     Two sets of n1 and n2 shingles that differ from the medoid's in d1 and d2, c of them shared,
-    are linked if (100 + percent) * (d1 + d2 - 2c) <= (100 - percent) * (n1 + n2).
+    are linked if (100 + percent) * (d1 + d2 - 2c) <= (100 - percent) * (n1 + n2). The first isn't
+    linked to the medoid, of n: (100 + percent) * d1 > (100 - percent) * (n + n1). So the second
+    must share over d2 / 2 - (100 - percent) / (200 + 2 * percent) * (n2 - n) of its differences.
+    """
+    d, far, near = F.size("differences"), 100 + percent, 100 - percent
+    need = F.greatest(F.lit(1), F.floor((far * d - near * (F.col("n_member") - F.col("n_rep"))) / (2 * far)) + 1)
+    own = verified.where("differences is not null").select(F.col("rep").alias("key"), F.col("member").alias("id"), (d - need + 1).alias("shown"), "differences", is_linked(percent).alias("linked"))
+    left = own.join(failed.select(F.col("rep").alias("key"), F.col("member").alias("id")), ["key", "id"], "left_semi").select("key", F.col("id").alias("a"), F.explode("differences").alias("e"))
+    linked = own.where("linked").select("key", "id", "shown", F.explode("differences").alias("e"))
+    counted = left.select("key", (-F.col("a") - 1).alias("id"), F.lit(0).cast("long").alias("shown"), "e")  # held by others, not shown
+    right = rarest(linked.unionByName(counted), F.col("shown"), "shown")
+    shared = left.join(right.select("key", "e", F.col("id").alias("b")), ["key", "e"])
+    return shared.select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("member"), F.lit(False).alias("hot")).distinct()
+
+
+def by_rare_shingles(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (rep, member, hot) of a bucket in (key, id) that share one of the shingles rarest in it.
+
+    Of linked sets ordered by rarity, the first n - ceil(percent * n / 100) + 1 shingles share one.
     """
-    weight = (100 + percent) * F.size("differences") - (100 - percent) * F.col("n_member")
-    own = verified.where("differences is not null").select("rep", "member", weight.alias("w"), "differences", is_linked(percent).alias("linked"))
-    others = own if among_failed else own.where("linked")
-    left = own.join(failed.select("rep", "member"), ["rep", "member"], "left_semi").select("rep", F.col("member").alias("a"), F.col("w").alias("wa"), F.explode("differences").alias("e"))
-    right = others.select("rep", F.col("member").alias("b"), F.col("w").alias("wb"), F.explode("differences").alias("e"))
-    shared = left.join(right, ["rep", "e"]).where("a != b").groupBy("rep", "a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"), F.count("*").alias("c"))
-    return shared.where(F.col("wa") + F.col("wb") <= 2 * (100 + percent) * F.col("c")).select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("member"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for key, own, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = shingles(unsqueeze.decompress(packed), words).view(np.int64)
+                same = [pa.array(np.full(len(found), x), pa.int64()) for x in (key, own, len(found))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], ["key", "id", "n", "e"])
+
+    sets = members.join(texts, "id").select("key", "id", "packed").mapInArrow(run, "key long, id long, n long, e long")
+    rare = checkpointed(rarest(sets, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, "n"))
+    a, b = (rare.select("key", "e", F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in ("rep", "member"))
+    near = (F.col("n_rep") * 100 >= percent * F.col("n_member")) & (F.col("n_member") * 100 >= percent * F.col("n_rep"))
+    return a.join(b, ["key", "e"]).where((F.col("rep") < F.col("member")) & near).select("rep", "member", F.lit(False).alias("hot")).distinct()
 
 
 def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, rounds: int = ROUNDS) -> DataFrame | None:
@@ -201,25 +248,32 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     texts = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     texts = texts.mapInArrow(squeezed, "id long, packed binary").join(score.select("id"), "id", "left_semi")
     texts = checkpointed(texts.groupBy("id").agg(F.min("packed").alias("packed")))
-    # below this, a member can't be linked to one that is linked to the medoid: distances add up at most
-    reach = max(0, 2 * percent - 100)
     found = []
     for number in range(rounds):
-        last = number == rounds - 1
-        verified = checkpointed(verify(compared(members, score), texts, words, 0 if last else reach))
+        verified = checkpointed(verify(compared(members, score), texts, words, reach(percent)))
         found.append(verified.where(is_linked(percent)).select("rep", "member"))
         hot = verified.where("hot")
         apart = hot.where(~is_linked(percent)).select("rep", "member")
         if apart.isEmpty():
             break
-        known = components(reduce(DataFrame.unionByName, found))
+        star = hot.where(is_linked(percent))
+        if star.isEmpty():
+            members = apart.select(F.col("rep").alias("key"), F.col("member").alias("id"))
+            pairs = by_rare_shingles(members, texts, words, percent)
+            found.append(checkpointed(verify(pairs, texts, words, 100)).where(is_linked(percent)).select("rep", "member"))
+            break
+        known = components(reduce(DataFrame.unionByName, found), 1)
         side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
         failed = apart.join(side("rep"), "rep", "left").join(side("member"), "member", "left")
         failed = checkpointed(failed.where("rep_in is null or member_in is null or rep_in != member_in").select("rep", "member"))
         if failed.isEmpty():
             break
-        found.append(checkpointed(by_differences(hot, failed, percent, last)))
+        pairs = by_differences(hot, failed, percent)
+        found.append(checkpointed(verify(pairs, texts, words, 100)).where(is_linked(percent)).select("rep", "member"))
         members = apart.join(failed.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("key"), F.col("member").alias("id"))
+    else:
+        pairs = by_rare_shingles(members, texts, words, percent)
+        found.append(checkpointed(verify(pairs, texts, words, 100)).where(is_linked(percent)).select("rep", "member"))
     return reduce(DataFrame.unionByName, found)
 
 
