@@ -9,10 +9,10 @@ Equal sets are one class from the start. Classes that share a band are candidate
 of candidates is never turned into all its pairs: each member is compared with the bucket's
 medoid, the member that agrees on most bands. A member that isn't linked to it, nor to anything
 that is, can only be linked to another member through what both differ in from the medoid, so
-such links are counted exactly by a join on these differences; members that aren't linked to the
-medoid form a bucket of their own in the next round. Only buckets of up to ``SMALL`` members are
-compared pairwise. Nothing is capped: rounds end when no bucket is left, or with the pairs that
-share one of the shingles that are rarest in their bucket, as many as every link must share.
+candidates are members that share one of their rarest differences; those not linked to the medoid
+first form a bucket of their own in the next round. Only buckets of up to ``SMALL`` members are
+compared pairwise. Nothing is capped: rounds end when no bucket is left, or with the candidates
+among all members that are still apart.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked
 with nothing. Fewer words than a shingle make one shingle. Rows that share an id are one
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_and_text, named
 from .superkmers import Words, grams, mixed
 
-SMALL, ROUNDS, BLOCK = 4, 3, 1 << 16
+SMALL, ROUNDS, BLOCK = 4, 2, 1 << 16
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 VERIFIED = "rep long, member long, hot boolean, n_rep long, n_member long, n_both long, differences array<long>"
 
@@ -113,11 +113,8 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(b" ".join(t.lower().split())) for t in batch.column(1).to_pylist()], pa.binary())], ["id", "packed"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, least_shared: int) -> DataFrame:
-    """Set sizes of every pair (rep, member, hot), and of hot pairs what they differ in.
-
-    Differences of pairs below ``least_shared`` percent are left out.
-    """
+def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Set sizes of every pair (rep, member, hot), and of hot pairs what they differ in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze = zstandard.ZstdDecompressor()
@@ -130,9 +127,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, least_shared: int) ->
                         held = of_rep, shingles(unsqueeze.decompress(of_rep), words)
                     a, b = held[1], shingles(unsqueeze.decompress(of_member), words)
                     both = len(np.intersect1d(a, b, assume_unique=True))
-                    differ = None
-                    if hot and 100 * both >= least_shared * (len(a) + len(b) - both):
-                        differ = np.setxor1d(a, b, assume_unique=True).view(np.int64)
+                    differ = np.setxor1d(a, b, assume_unique=True).view(np.int64) if hot else None
                     for column, value in zip(out, (rep, member, hot, len(a), len(b), both, differ), strict=True):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
@@ -178,11 +173,6 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     return labels
 
 
-def reach(percent: int) -> int:
-    """Below this, a set can't be linked to one that is linked to the medoid: distances add up at most."""
-    return max(0, 2 * percent - 100)
-
-
 def is_linked(percent: int) -> Column:
     return F.col("n_both") * 100 >= percent * (F.col("n_rep") + F.col("n_member") - F.col("n_both"))
 
@@ -196,44 +186,32 @@ def rarest(rows: DataFrame, shown: Column, *also: str) -> DataFrame:
     return ranked.select("key", "id", *also, F.explode(F.filter(first, lambda x: x["held"] > 1)["e"]).alias("e"))
 
 
-def by_differences(verified: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (rep, member, hot) of failed members and those linked to the same medoid that may be linked.
+def by_differences(verified: DataFrame, failed: DataFrame, among_failed: bool) -> DataFrame:
+    """Pairs (rep, member, hot) of failed members and others of the same medoid that may be linked.
 
     Two sets of n1 and n2 shingles that differ from the medoid's in d1 and d2, c of them shared,
-    are linked if (100 + percent) * (d1 + d2 - 2c) <= (100 - percent) * (n1 + n2). The first isn't
-    linked to the medoid, of n: (100 + percent) * d1 > (100 - percent) * (n + n1). So the second
-    must share over d2 / 2 - (100 - percent) / (200 + 2 * percent) * (n2 - n) of its differences.
+    are linked if (100 + p) * (d1 + d2 - 2c) <= (100 - p) * (n1 + n2). The first isn't linked to
+    the medoid, of n: (100 + p) * d1 > (100 - p) * (n + n1). So the second must share over
+    d2 / 2 - (100 - p) / (200 + 2p) * (n2 - n) of its differences, and one of the rarest d2 minus
+    that. Where neither is linked to the medoid (``among_failed``), this holds for both.
     """
-    d, far, near = F.size("differences"), 100 + percent, 100 - percent
-    need = F.greatest(F.lit(1), F.floor((far * d - near * (F.col("n_member") - F.col("n_rep"))) / (2 * far)) + 1)
-    own = verified.where("differences is not null").select(F.col("rep").alias("key"), F.col("member").alias("id"), (d - need + 1).alias("shown"), "differences", is_linked(percent).alias("linked"))
-    left = own.join(failed.select(F.col("rep").alias("key"), F.col("member").alias("id")), ["key", "id"], "left_semi").select("key", F.col("id").alias("a"), F.explode("differences").alias("e"))
-    linked = own.where("linked").select("key", "id", "shown", F.explode("differences").alias("e"))
-    counted = left.select("key", (-F.col("a") - 1).alias("id"), F.lit(0).cast("long").alias("shown"), "e")  # held by others, not shown
-    right = rarest(linked.unionByName(counted), F.col("shown"), "shown")
-    shared = left.join(right.select("key", "e", F.col("id").alias("b")), ["key", "e"])
+    own = verified.where("differences is not null").select(F.col("rep").alias("key"), F.col("member").alias("id"), "shown", "differences", "linked")
+    own = own.join(failed.select(F.col("rep").alias("key"), F.col("member").alias("id"), F.lit(True).alias("failed")), ["key", "id"], "left")
+    own = own.where(~F.col("linked") if among_failed else F.col("linked") | F.col("failed"))
+    shown = F.col("shown") if among_failed else F.when(F.col("linked"), F.col("shown")).otherwise(F.size("differences"))
+    rows = own.select("key", "id", shown.alias("shown"), F.coalesce("failed", F.lit(False)).alias("failed"), F.explode("differences").alias("e"))
+    rare = checkpointed(rarest(rows, F.col("shown"), "shown", "failed"))
+    left = rare.where("failed").select("key", "e", F.col("id").alias("a"))
+    right = rare.where(F.lit(True) if among_failed else ~F.col("failed")).select("key", "e", F.col("id").alias("b"))
+    shared = left.join(right, ["key", "e"]).where("a != b")
     return shared.select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("member"), F.lit(False).alias("hot")).distinct()
 
 
-def by_rare_shingles(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (rep, member, hot) of a bucket in (key, id) that share one of the shingles rarest in it.
-
-    Of linked sets ordered by rarity, the first n - ceil(percent * n / 100) + 1 shingles share one.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unsqueeze = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for key, own, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = shingles(unsqueeze.decompress(packed), words).view(np.int64)
-                same = [pa.array(np.full(len(found), x), pa.int64()) for x in (key, own, len(found))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], ["key", "id", "n", "e"])
-
-    sets = members.join(texts, "id").select("key", "id", "packed").mapInArrow(run, "key long, id long, n long, e long")
-    rare = checkpointed(rarest(sets, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, "n"))
-    a, b = (rare.select("key", "e", F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in ("rep", "member"))
-    near = (F.col("n_rep") * 100 >= percent * F.col("n_member")) & (F.col("n_member") * 100 >= percent * F.col("n_rep"))
-    return a.join(b, ["key", "e"]).where((F.col("rep") < F.col("member")) & near).select("rep", "member", F.lit(False).alias("hot")).distinct()
+def with_shown(verified: DataFrame, percent: int) -> DataFrame:
+    """Adds ``linked`` and ``shown``, how many of a member's rarest differences must be looked at."""
+    d, far, near = F.size("differences"), 100 + percent, 100 - percent
+    need = F.greatest(F.lit(1), F.floor((far * d - near * (F.col("n_member") - F.col("n_rep"))) / (2 * far)) + 1)
+    return verified.withColumns({"linked": is_linked(percent), "shown": d - need + 1})
 
 
 def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, rounds: int = ROUNDS) -> DataFrame | None:
@@ -250,30 +228,26 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     texts = checkpointed(texts.groupBy("id").agg(F.min("packed").alias("packed")))
     found = []
     for number in range(rounds):
-        verified = checkpointed(verify(compared(members, score), texts, words, reach(percent)))
+        verified = checkpointed(verify(compared(members, score), texts, words))
         found.append(verified.where(is_linked(percent)).select("rep", "member"))
-        hot = verified.where("hot")
-        apart = hot.where(~is_linked(percent)).select("rep", "member")
+        hot = with_shown(verified.where("hot"), percent)
+        apart = hot.where("not linked").select("rep", "member")
         if apart.isEmpty():
             break
-        star = hot.where(is_linked(percent))
-        if star.isEmpty():
-            members = apart.select(F.col("rep").alias("key"), F.col("member").alias("id"))
-            pairs = by_rare_shingles(members, texts, words, percent)
-            found.append(checkpointed(verify(pairs, texts, words, 100)).where(is_linked(percent)).select("rep", "member"))
-            break
         known = components(reduce(DataFrame.unionByName, found), 1)
         side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
         failed = apart.join(side("rep"), "rep", "left").join(side("member"), "member", "left")
         failed = checkpointed(failed.where("rep_in is null or member_in is null or rep_in != member_in").select("rep", "member"))
         if failed.isEmpty():
             break
-        pairs = by_differences(hot, failed, percent)
-        found.append(checkpointed(verify(pairs, texts, words, 100)).where(is_linked(percent)).select("rep", "member"))
+        pairs = by_differences(hot, failed, False)
+        last = number == rounds - 1 or hot.where("linked").isEmpty()
+        if last:
+            pairs = pairs.unionByName(by_differences(hot, failed, True)).distinct()
+        found.append(checkpointed(verify(pairs, texts, words)).where(is_linked(percent)).select("rep", "member"))
+        if last:
+            break
         members = apart.join(failed.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("key"), F.col("member").alias("id"))
-    else:
-        pairs = by_rare_shingles(members, texts, words, percent)
-        found.append(checkpointed(verify(pairs, texts, words, 100)).where(is_linked(percent)).select("rep", "member"))
     return reduce(DataFrame.unionByName, found)
 
 
