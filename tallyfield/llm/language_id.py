@@ -7,7 +7,8 @@ and the nearest codeword wins. A document is flagged as ambiguous when the runne
 
 Training reads at most ``per_lang`` documents for each language (a bounded sample of labelled
 rows, by smallest hash of the id; documents whose CRC-32 of the id leaves 0 modulo 5 are never
-learnt from). Everything else reads every document whole.
+learnt from). With more than ``FULL_LANGS`` languages each gets evenly fewer, one at least, so that
+all are learnt. Everything else reads every document whole.
 
 Defined results: a null text, an empty text or one without any letter is ``und`` with score 0,
 not ambiguous. With no labelled rows everything is ``und``. A single language has no bit to
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, named
 
-DIMS, BITS, PER_LANG, MAX_LANGS = 4096, 15, 400, 64
+DIMS, BITS, PER_LANG, FULL_LANGS = 4096, 15, 400, 64
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 #: Multipliers that spread code points over the n-gram buckets.
 ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -53,12 +54,12 @@ def ngram_frequencies(texts: list[str | None], dims: int = DIMS) -> np.ndarray:
 def codewords(languages: int, bits: int, seed: int = 7) -> np.ndarray:
     """Rows of signs, no two alike; each next row is the farthest of many drawn from those before."""
     rng = np.random.default_rng(seed)
-    rows = [np.where(np.arange(bits) % 2 == 0, 1, -1)]
-    while len(rows) < languages:
-        drawn = rng.choice([-1, 1], (512, bits))
-        far = np.min([(drawn != r).sum(1) for r in rows], axis=0)
-        rows.append(drawn[far.argmax()])
-    return np.array(rows)
+    rows = np.empty((max(languages, 1), bits), np.float32)
+    rows[0] = np.where(np.arange(bits) % 2 == 0, 1, -1)
+    for known in range(1, languages):
+        drawn = rng.choice([-1, 1], (512, bits)).astype(np.float32)
+        rows[known] = drawn[(drawn @ rows[:known].T).max(1).argmin()]
+    return rows.astype(int)
 
 
 @dataclass
@@ -73,8 +74,9 @@ class Model:
     def decode(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The nearest codeword, its score and the runner-up's."""
         margins = np.sqrt(features) * self.scale @ self.weights + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.codes[None]) * self.bit_weights
-        fit = -loss.sum(2) / self.bit_weights.sum()
+        # log(1 + exp(m)) is log(1 + exp(-m)) + m, so a product serves any number of languages
+        loss = (np.logaddexp(0, -margins) @ self.bit_weights)[:, None] + (margins * self.bit_weights) @ (self.codes < 0).T
+        fit = -loss / self.bit_weights.sum()
         p = np.exp((fit - fit.max(1, keepdims=True)) * self.codes.shape[1])
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -88,7 +90,8 @@ def fit(features: np.ndarray, labels: list[str], bits: int = BITS, steps: int =
     languages = sorted(set(labels))
     bits = max(bits, 2 * (len(languages) - 1).bit_length() + 1)
     codes = codewords(len(languages), bits)
-    y_index = np.array([languages.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(languages)}
+    y_index = np.array([number[x] for x in labels])
     y = codes[y_index].astype(np.float32)
     x = np.sqrt(features)
     scale = (1 / (x.std(0) + 0.01)).astype(np.float32)
@@ -116,9 +119,10 @@ def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    per_lang = min(per_lang, max(1, FULL_LANGS * per_lang // max(1, rows.select("lang").distinct().count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
-    chosen = rows.join(F.broadcast(ids.select("lang", "doc_id").limit(MAX_LANGS * per_lang)), ["lang", "doc_id"])
+    chosen = rows.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"])
     found = chosen.select("lang", "text").mapInArrow(with_features, "lang string, features binary").toArrow()
     if not found.num_rows:
         return None

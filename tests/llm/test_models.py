@@ -39,6 +39,17 @@ def test_codewords_stay_apart():
     assert min((a != b).sum() for i, a in enumerate(codes) for b in codes[:i]) >= 3
 
 
+@pytest.mark.parametrize("per_lang", [1, 2])
+def test_all_of_many_languages_are_learnt(spark, per_lang):
+    names = [f"l{k:02}" for k in range(80)]
+    rows = [(k * 8 + i, chr(0x4E00 + 100 * k) * 4, name) for k, name in enumerate(names) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, per_lang=per_lang)
+    assert model.languages == names
+    got = language_id.predict_languages(docs, model).join(docs, "doc_id").collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
 def test_toxicity_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = op2_toxicity(spark, SF).join(labels, "doc_id").where("held_out").collect()
