@@ -14,7 +14,7 @@ from typing import Any
 
 from .dom import Node, parse, text_of
 
-GAME = ["opponent", "date_text", "side", "result", "box", "home", "away"]
+GAME = ["opponent", "date_text", "date_attrs", "date_iso", "side", "result", "box", "home", "away"]
 PLAYER = ["team", "jersey", "player", "position", "minutes", "goals", "assists", "shots", "shots_on_goal", "saves", "goals_allowed"]
 PAYLOAD_ID = "__NUXT_DATA__"
 MOST_HOPS = 8
@@ -72,26 +72,88 @@ def list_items(page: Node) -> Iterator[dict]:
             }
 
 
+LABEL = re.compile(r"\b(date|opponents?|teams|results?)\b")
+DATE_ATTRS = ("data-game-date", "data-date", "data-datetime")
+NO_OPPONENT = re.compile(r"\d{1,2}:\d{2}|\d{1,2}/\d{1,2}|[A-Za-z]+\s*\d{1,2}|\d+\s*-\s*\d+|(?i:postponed|cancel)")
+OUTCOME = re.compile(r"(?i)\d+\s*-\s*\d+|postponed|cancel")
+
+
+def inside(node: Node, *tags: str) -> Node | None:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node
+
+
+def texts_of(row: Node) -> list[str]:
+    return [text_of(c).lower() for c in row.all("th", "td")]
+
+
+def names_columns(row: Node) -> bool:
+    """Only th cells, one a label or several; or two labels and no digits among td cells."""
+    heads = texts_of(row)
+    if row.all("td"):
+        return sum(bool(LABEL.search(h)) for h in heads) > 1 and not re.search(r"\d", " ".join(heads))
+    return len(heads) > 1 or any(LABEL.search(h) for h in heads)
+
+
+def headed_rows(table: Node) -> Iterator[tuple[list[str], Node]]:
+    """A table's rows of games, each with the column names of the head, else of the nearest row above that names columns, else of a row of a header class."""
+    rows = [r for r in table.all("tr") if inside(r, "table") is table]
+    head = [r for r in rows if inside(r, "thead", "table") is not table]
+    classed = [r for r in rows if r not in head and "header" in r.attrs.get("class", "")]
+    heads = next((h for h in map(texts_of, head) if LABEL.search(" ".join(h))), [t for r in head for t in texts_of(r)])
+    last = heads or [t for r in classed for t in texts_of(r)]
+    for row in rows:
+        if row in head or row in classed:
+            continue
+        if names_columns(row):
+            last = heads or texts_of(row)
+        else:
+            yield last, row
+
+
+def opponent_cell(cells: list[Node]) -> Node:
+    """Where no header tells: the first inner cell of five characters that is no time, date or outcome, then by position."""
+    likely = (c for c in cells[1:-1] if len(t := text_of(c)) >= 5 and not NO_OPPONENT.match(t))
+    return next(likely, cells[min(3, len(cells) - 2)])
+
+
+def result_cell(cells: list[Node], taken: tuple[Node | None, ...]) -> Node | None:
+    """Where no header tells: a score, postponed or canceled in the last three cells, then the last but one."""
+    free = [c for c in cells[-3:] if c not in taken]
+    return next((c for c in free if OUTCOME.search(text_of(c))), cells[-2] if cells[-2] not in taken else None)
+
+
+def iso_date(node: Node) -> str:
+    """The first ISO date in what is within an element, attributes included."""
+    said = " ".join([*(v for n in node.below() for v in n.attrs.values()), node.text()])
+    return m[0] if (m := re.search(r"\d{4}-\d{2}-\d{2}", said)) else ""
+
+
 def table_rows(page: Node) -> Iterator[dict]:
     for table in page.all("table"):
-        heads = [text_of(c).lower() for row in table.all("tr") if not row.all("td") for c in row.all("th")]
-        if not any("opponent" in h for h in heads):
-            continue
-        column = lambda cells, label: next((c for h, c in zip(heads, cells, strict=False) if label in h), None)
-        for row in table.all("tr"):
-            cells = row.all("td")
-            opponent = column(cells, "opponent")
-            if opponent is None or len(cells) < 3:
+        for heads, row in headed_rows(table):
+            cells = row.all("th", "td")
+            column = lambda label: next((c for h, c in zip(heads, cells, strict=False) if label in h), None)  # noqa: B023, E731
+            told = any(x in h for h in heads for x in ("opponent", "teams"))
+            if len(cells) < (2 if told else 3) or not text_of(row) or (heads and set(heads) <= {"team", "period", "f"}):
+                continue
+            date = column("date") or cells[0]
+            opponent = (column("opponent") or column("teams")) if told else opponent_cell(cells)
+            if opponent is None:
                 continue
+            result = column("result") if any("result" in h for h in heads) else result_cell(cells, (date, opponent))
             name = next((n for c in ("schedule-event-item-team__opponent-name", "schedule-default-team__opponent-name") if (n := opponent.first(cls=c))), None)
             stamp = next((text_of(n) for c in ("schedule-event-item-team__divider--desktop", "schedule-default-team__divider") if (n := opponent.first(cls=c))), "")
             said = name.own_text() if name else text_of(opponent)
             lead = re.match(r"(?i)(at|vs)\.?\s+", said)
             yield {
                 "opponent": said[lead.end() :] if lead else said,
-                "date_text": text_of(column(cells, "date")),
+                "date_text": text_of(date),
+                "date_attrs": "\n".join(n.attrs[k] for n in (date, row) for k in DATE_ATTRS if n.attrs.get(k)),
+                "date_iso": iso_date(row),
                 "side": side_of(stamp or (lead[1] if lead else "vs")),
-                "result": text_of(column(cells, "result")),
+                "result": text_of(result),
                 "box": box_link(row),
             }
 

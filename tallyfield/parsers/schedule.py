@@ -37,6 +37,19 @@ def _named(context: Column, opponent: Column, is_home: Column) -> dict[str, Colu
     }
 
 
+def _said_date() -> Column:
+    """Dates of attributes, then an ISO date in the row's HTML, then the text; each counts while it isn't unknown.
+
+    A year within a table's date text beats the page's.
+    """
+    year = F.when(F.col("layout") == "table", F.nullif(F.regexp_extract("date_text", r"\b(20[0-9]{2})\b", 1), F.lit("")))
+    year = F.coalesce(year, F.col("year"))
+    tried = F.transform(F.split("date_attrs", "\n"), lambda x: dates.parse_date(x, year))
+    first = F.try_element_at(F.filter(tried, dates.is_known), F.lit(1))
+    iso = F.nullif(F.col("date_iso"), F.lit(""))
+    return F.coalesce(first, F.when(dates.is_known(iso), iso), dates.parse_date(F.col("date_text"), year))
+
+
 def html_games(raw: DataFrame, prefix: str) -> DataFrame:
     """``raw``: page_id, body, team_name, source_url, default_year. Filters on pages belong before this."""
     cells = F.udf(pages.schedule_cells, CELLS, useArrow=True)
@@ -49,7 +62,7 @@ def html_games(raw: DataFrame, prefix: str) -> DataFrame:
     score = status.scores(F.col("result"), is_home)
     place = F.when(both, F.when(text.names_likely_match(F.col("home"), F.col("team_name")), "home").when(text.names_likely_match(F.col("away"), F.col("team_name")), "away").otherwise("unknown")).otherwise(F.col("side"))
     rows = found.withColumns(
-        {"date": dates.parse_date(F.col("date_text"), F.col("year")), **_named(context, opponent, is_home), "home_score": score["home"], "away_score": score["away"], "location_type": place, "schedule_url": F.col("source_url")}
+        {"date": _said_date(), **_named(context, opponent, is_home), "home_score": score["home"], "away_score": score["away"], "location_type": place, "schedule_url": F.col("source_url")}
         | {"status": status.status_of_text(F.col("result")), "boxscore_url": urls.resolve_url(F.col("box"), F.col("source_url"))}
     )
     return _keyed(rows, prefix).select("page_id", *GAME_COLUMNS)

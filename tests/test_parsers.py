@@ -41,6 +41,33 @@ def test_schedule_layouts(spark):
     assert got[2, "platform"].boxscore_url == "https://s.example/b/9" and got[2, "platform"].game_id == "game-9"
 
 
+def row_of(*cells, attrs=""):
+    return f"<tr {attrs}>" + "".join(c if c.startswith("<t") else f"<td>{c}</td>" for c in cells) + "</tr>"
+
+
+HEADS = row_of("<th>Date</th>", "<th>Time</th>", "<th>Opponent</th>", "<th>Result</th>")
+TABLES = {  # a page, and its games: date, home, away, scores, status
+    "th for the date": (f"<table><thead>{HEADS}</thead><tbody>" + row_of("<th>Aug 21</th>", "7 PM", "at Clemson", "L 0-3") + "</tbody></table>", [("2025-08-21", "Clemson", "SMU", 3, 0, "final")]),
+    "teams": ("<table><thead>" + HEADS.replace("Opponent", "Teams").replace("Result", "Time/Results") + "</thead>" + row_of("9/1", "7 PM", "vs Cal", "Postponed") + "</table>", [("2025-09-01", "SMU", "Cal", None, None, "postponed")]),
+    "two columns": ("<table><thead><tr><th>Date</th><th>Opponent</th></tr></thead>" + row_of("9/2", "Yale") + "</table>", [("2025-09-02", "SMU", "Yale", None, None, "scheduled")]),
+    "header row of td": ("<table>" + HEADS.replace("th>", "td>") + row_of("9/3", "7 PM", "Pitt", "W 2-1") + row_of("9/4", "8 PM", "Duke", "") + "</table>", [("2025-09-03", "SMU", "Pitt", 2, 1, "final"), ("2025-09-04", "SMU", "Duke", None, None, "scheduled")]),
+    "header class": ("<table><tr class='my-header'><td>When</td><td>At</td><td>Opponent 1</td></tr>" + row_of("9/5", "Rome", "Ohio St") + "</table>", [("2025-09-05", "SMU", "Ohio St", None, None, "scheduled")]),
+    "no header": ("<table>" + row_of("9/6", "7:00 PM", "at Louisville", "Cardinal Park", "T 1-1", "Recap") + row_of("9/7", "8:00 PM", "UCF", "Cal", "", "Canceled", "") + row_of("Skip Ad") + row_of("", "", "", "") + "</table>", [("2025-09-06", "Louisville", "SMU", 1, 1, "final"), ("2025-09-07", "SMU", "Cal", None, None, "canceled")]),
+    "date attributes": (f"<table><thead>{HEADS}</thead>" + row_of('<td data-date="TBA">Fri</td>', "", "Navy", "", attrs='data-game-date="9/8/2025"') + row_of("<td data-datetime='2025-09-09T19:00'>Sat</td>", "", "Army", "") + "</table>", [("2025-09-08", "SMU", "Navy", None, None, "scheduled"), ("2025-09-09", "SMU", "Army", None, None, "scheduled")]),
+    "ISO in HTML": (f"<table><thead>{HEADS}</thead>" + row_of("Sun", "<td><time datetime='2025-09-10T19:00'>7 PM</time></td>", "Rice", "") + "</table>", [("2025-09-10", "SMU", "Rice", None, None, "scheduled")]),
+    "year in the date": (f"<table><thead>{HEADS}</thead>" + row_of("2024: Sep 11", "", "Iowa", "") + "</table>", [("2024-09-11", "SMU", "Iowa", None, None, "scheduled")]),
+    "ISO date is no score": ("<table>" + row_of("2025-09-12", "Stanford", "TBA") + "</table>", [("2025-09-12", "SMU", "Stanford", None, None, "scheduled")]),
+    "line score": ("<table><thead><tr><th>Team</th><th>Period</th><th>F</th></tr></thead>" + row_of("Clemson", "1 2 3", "2") + "</table>", []),
+}
+
+
+def test_tables_without_plain_headers(spark):
+    raw = spark.createDataFrame([(k, b, "SMU", "", 2025) for k, (b, _) in TABLES.items()], "page_id string, body string, team_name string, source_url string, default_year int")
+    rows = schedule.parse_schedules(raw).orderBy("position").collect()
+    got = {k: [(r.date, r.home_team_name, r.away_team_name, r.home_score, r.away_score, r.status) for r in rows if r.page_id == k] for k in TABLES}
+    assert got == {k: games for k, (_, games) in TABLES.items()}
+
+
 def test_box_layouts(spark):
     players = [{"players": 1, "id": 2, "name": 3}, [4], "t1", "Beta", {"name": 5, "minutesPlayed": 6, "shots": 7, "uniform": 9}, "27 Bo Day", "88", {"goals": 8, "shots": 8}, "2", "27"]
     bodies = [CLASSIC, ADVANCED, f'<script id="__NUXT_DATA__">{json.dumps(players)}</script>', None, "<table></table>"]
