@@ -154,7 +154,10 @@ def predict_languages(docs: DataFrame, model: Model | None, ambiguous_under: flo
 
 
 def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is in some language; only ``und`` is rejected."""
+    """The rows, with all their columns, whose text has a letter and so is in some language.
+
+    Without a model the language is undecided, and every text with a letter is kept just so.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +166,8 @@ def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
             texts = batch.column(names.index(text_col)).to_pylist()
             for at in range(0, len(texts), 512):
                 some = texts[at : at + 512]
-                if model is not None:
-                    best, top, _ = model.decode(ngram_frequencies(some))
-                    keep[at : at + 512] = [t is not None and any(map(str.isalpha, t)) and p > 0 for t, p in zip(some, top, strict=True)]
+                top = np.ones(len(some)) if model is None else model.decode(ngram_frequencies(some))[1]
+                keep[at : at + 512] = [t is not None and any(map(str.isalpha, t)) and p > 0 for t, p in zip(some, top, strict=True)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tallyfield.llm.common import checkpointed
+from tallyfield.llm.common import checkpointed, held_out
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,13 @@ def test_stages_keep_what_they_must(spark):
     assert not any(re.search(r"[a-z0-9]@[a-z0-9-]+\.[a-z]", r.text) for r in seen[4]) and len(seen[4]) == len(seen[3])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in seen[4]}
+
+
+def test_language_stage_keeps_documents_without_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.text is not None and any(map(str.isalpha, r.text)))
+    only_held_out = spark.createDataFrame([(k, "the thing", "en") for k in range(40)] + [(40, None, "en"), (41, "12 !!", "en")], "doc_id long, text string, lang string").where(held_out(F.col("doc_id")) | (F.col("doc_id") >= 40))
+    only_held_out = only_held_out.withColumn("lang", F.when(held_out(F.col("doc_id")), F.col("lang")))
+    assert sorted(r.doc_id for r in corpus_pipeline.identify(spark, only_held_out, SF).collect()) == sorted(r.doc_id for r in only_held_out.collect() if r.doc_id < 40) != []
