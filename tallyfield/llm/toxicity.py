@@ -7,8 +7,10 @@ embeddings and the softmax are learnt together by gradient descent, where a trai
 bag is a passage of ``passage`` words; passages of a toxic document that look clean under the
 model so far are learnt as clean after a few epochs (a document is
 toxic by its worst passage), which keeps ordinary words of toxic documents from counting. Only
-subwords whose share of documents differs between the classes by ``SEEN`` standard errors have
-vectors, so that single documents are not memorised.
+subwords whose share of documents differs between the classes by ``SEEN`` standard errors and that
+are in four documents have vectors, so that single documents are not memorised. With fewer than
+``SEEN`` squared documents of a class the square root of their number does, and three documents,
+as no word of a few could differ by more.
 
 A document's score is that of its most toxic passage, calibrated on the training documents so
 that 0.5 splits the classes best. Training reads at most ``max_docs`` labelled documents, a
@@ -134,7 +136,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 36, rate: float = 0.0
     both, ones = np.bincount(in_doc % BUCKETS, minlength=BUCKETS), np.bincount(in_doc % BUCKETS, toxic, BUCKETS)
     rate_all = both / total.sum()
     spread_of = np.sqrt(rate_all * (1 - rate_all) * (1 / total).sum()) + 1e-9
-    known = ((both >= 4) & (np.abs(ones / total[1] - (both - ones) / total[0]) > SEEN * spread_of))[:, None]
+    seen = min(SEEN, math.sqrt(total.min()))
+    known = ((both >= (4 if seen == SEEN else 3)) & (np.abs(ones / total[1] - (both - ones) / total[0]) > seen * spread_of))[:, None]
     weights = [rng.normal(0, 0.3, (BUCKETS, DIM)) * known, rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     summed = lambda index, values, n: np.stack([np.bincount(index, values[:, d], n) for d in range(values.shape[1])], 1)

@@ -60,6 +60,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert above > 0.75
 
 
+def test_toxicity_of_ten_toxic_documents():
+    plain = ["bakola", "demiru", "fongat", "hujelo", "kipsan", "lortev", "muzwin", "qebdra", "sylphex", "vornack"]
+    toxic = ["idiotic", "clownish", "vermin", "stupid", "moronic", "scum", "filthy", "pathetic", "loser", "garbage"]
+    clean_text = lambda k: " ".join(plain[(k * 7 + i * (k % 3 + 1)) % 10] for i in range(20))
+    said = lambda k: " ".join(toxic[(k + i) % 10] for i in (0, 3, 7))
+    texts = [clean_text(k) for k in range(58)] + [f"{clean_text(k)} {said(k)}" for k in range(10)]
+    model = toxicity.fit(texts, [0] * 58 + [1] * 10)
+    assert min(model.scores([f"{clean_text(k)} {said(k)}" for k in range(100, 110)])) > 0.5 > max(model.scores([clean_text(k) for k in range(100, 160)]))
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.train(docs, labels)
