@@ -237,7 +237,8 @@ def url_resolution(spark, sf_dir):
 SELECT n.n_nationkey AS pos, p.page_id, coalesce(nullif(z.raw, ''), '/none') AS link FROM pages p CROSS JOIN nation n LEFT JOIN z ON z.page_id = p.page_id AND z.pos = n.n_nationkey""")
 def zip_positions(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    rows = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("pos"), F.lit("/none").alias("link"))
+    positions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"))
+    rows = pages.select("page_id").crossJoin(F.broadcast(positions)).withColumn("link", F.lit("/none"))
     harvested = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("pos", "mapped"))
     return merge.zip_positions(rows, harvested, ["page_id", "pos"], "link", "mapped").select("pos", "page_id", "link")
 

@@ -34,6 +34,19 @@ def test_query_matches_oracle(spark, duck, name):
     assert rows or name in ("player_page", "team_set_equality")  # empty at this size
 
 
+def test_links_are_zipped_to_every_position(spark, tmp_path):
+    page = "".join(f'<a href="/l{k}">x</a>' for k in range(28))
+    spark.createDataFrame([(1, "https://a.example/s", page), (2, "https://a.example/t", "<p>")], "page_id int, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k,) for k in range(30)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["zip_positions"])
+    got = catalog.QUERIES["zip_positions"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert got.where("link <> '/none'").count() == 28
+
+
 def test_greedy_matches_sequential_model(spark):
     kept, seen = set(), set()
     for g in sorted(games(spark, SF).select("seq", "date", "home", "away").collect()):
