@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,17 +25,22 @@ def partitions(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the reliable checkpoint folder.
 
-    The folder is the one the session names; one of our own is set only where it names none.
+    The folder is the one the session names. Only a session on one machine that names none gets one
+    of our own, which ends with the process; on a cluster a missing folder is an error.
     """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfield-checkpoint-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyfield-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns, ``doc_id`` and ``text`` (null: empty), so that other columns can't clash."""
-    return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    """Two columns, ``doc_id`` (long) and ``text`` (null: empty), so that other columns can't clash."""
+    return docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
 
 
 def named(column: str) -> Column:
