@@ -5,14 +5,19 @@ shingle, ``pi`` ranks it, and coordinate ``k`` ranks the universe shifted around
 ``rows`` coordinates form a band: 24 bands of 5 miss a pair at 0.85 with a chance below 1e-6, 32
 miss one at 0.8 with a chance below 4e-6.
 
-Equal sets are one class from the start. Classes that share a band are candidates, and a bucket
-of candidates is never turned into all its pairs: each member is compared with the bucket's
-medoid, the member that agrees on most bands. A member that isn't linked to it, nor to anything
-that is, can only be linked to another member through what both differ in from the medoid, so
-candidates are members that share one of their rarest differences; those not linked to the medoid
-first form a bucket of their own in the next round. Only buckets of up to ``SMALL`` members are
-compared pairwise. Nothing is capped: rounds end when no bucket is left, or with the candidates
-among all members that are still apart.
+Equal sets are one class from the start. Classes that share a band are candidates. Buckets of up
+to ``SMALL`` members are compared pairwise; larger ones are merged where one document is the
+medoid of several, and never turned into all their pairs. Of such a bucket a centre is drawn, the
+shingles that most of a few members hold, and each member is kept as what it differs in from
+the centre: two members differ in just what these differences differ in, so all that
+follows is exact without their texts. The member with the most slack (it is allowed more
+differences than it has) is compared with all others. A member that isn't linked to it can be
+linked to another only if both share a number of differences that their sizes tell, hence one of
+their rarest. Where few such members share one, they are compared with all that have it too;
+where many do, these form a bucket of their own in the next round, without the member that all
+were compared with, until no bucket is left. Nothing is capped.
+
+Sets are kept as 64-bit hashes of shingles, so links are exact up to their collisions.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked
 with nothing. Fewer words than a shingle make one shingle. Rows that share an id are one
@@ -35,9 +40,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, id_and_text, named
 from .superkmers import Words, grams, mixed
 
-SMALL, ROUNDS, BLOCK = 4, 2, 1 << 16
+SMALL, DRAWN, BLOCK = 4, 24, 1 << 16
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
-VERIFIED = "rep long, member long, hot boolean, n_rep long, n_member long, n_both long, differences array<long>"
+VERIFIED = "rep long, member long, n_rep long, n_member long, n_both long"
+DIFFERING = "key long, id long, n long, d array<long>"
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -104,7 +110,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
     texts = id_and_text(docs, id_col, text_col)
-    return texts.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
+    return texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SIGNED)
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,52 +120,142 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Set sizes of every pair (rep, member, hot), and of hot pairs what they differ in."""
+    """Set sizes of every pair (rep, member)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze = zstandard.ZstdDecompressor()
         held: tuple = (None, None)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                out: list[list] = [[] for _ in range(7)]
-                for rep, member, hot, of_rep, of_member in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
+                out: list[list] = [[] for _ in range(5)]
+                for rep, member, of_rep, of_member in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
                     if held[0] != of_rep:
                         held = of_rep, shingles(unsqueeze.decompress(of_rep), words)
                     a, b = held[1], shingles(unsqueeze.decompress(of_member), words)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    differ = np.setxor1d(a, b, assume_unique=True).view(np.int64) if hot else None
-                    for column, value in zip(out, (rep, member, hot, len(a), len(b), both, differ), strict=True):
+                    for column, value in zip(out, (rep, member, len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))), strict=True):
                         column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                names = [x.split()[0] for x in VERIFIED.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [x.split()[0] for x in VERIFIED.split(", ")])
 
     of_member = texts.select(F.col("id").alias("member"), F.col("packed").alias("of_member"))
     of_rep = texts.select(F.col("id").alias("rep"), F.col("packed").alias("of_rep"))
-    return pairs.join(of_member, "member").join(of_rep, "rep").select("rep", "member", "hot", "of_rep", "of_member").mapInArrow(run, VERIFIED)
+    return pairs.join(of_member, "member").join(of_rep, "rep").select("rep", "member", "of_rep", "of_member").mapInArrow(run, VERIFIED)
 
 
-def compared(members: DataFrame, score: DataFrame) -> DataFrame:
-    """Pairs (rep, member, hot) of the buckets in (key, id): all in small ones, else those with the medoid."""
-    sizes = members.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("rep"), F.count("*").alias("n"))
-    sizes = sizes.where("n > 1")
-    own = members.join(sizes, "key").select("key", "id", "rep", "n")
-    star = own.where((F.col("n") > SMALL) & (F.col("id") != F.col("rep"))).select("rep", F.col("id").alias("member"), F.lit(True).alias("hot"))
-    few = own.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    few = few.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("rep"), b.alias("member")))))).alias("p")).select("p.rep", "p.member", F.lit(False).alias("hot"))
-    return star.unionByName(few).groupBy("rep", "member").agg(F.max("hot").alias("hot"))
+def drawn(key: str = "key", size: str = "n") -> Column:
+    """About ``DRAWN`` members of every bucket of ``size``, all of a small one, by hash."""
+    return F.pmod(F.xxhash64(key, "id"), F.col(size)) < DRAWN
 
 
-def components(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(id, component) of every id in the edges (rep, member): the smallest id it can reach.
+def differences(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(key, id, n, d): a member's set size and what it differs in from the centre of its bucket; members: (key, id, n)."""
 
-    After ``most`` steps, labels may still differ inside a component; equal ones are right.
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                sets = [shingles(unsqueeze.decompress(p), words) for p in batch.column(1)[at].as_py()]
+                found, times = np.unique(np.concatenate(sets), return_counts=True)
+                packed = squeeze.compress(found[2 * times > len(sets)].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([packed], pa.binary())], ["key", "centre"])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor()
+        held: tuple = (None, np.zeros(0, np.uint64))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sizes, lists = [], []
+                for packed, centre in zip(batch.column("packed").to_pylist(), batch.column("centre").to_pylist(), strict=True):
+                    if centre is not None and held[0] != centre:
+                        held = centre, np.frombuffer(unsqueeze.decompress(centre), np.uint64)
+                    own = shingles(unsqueeze.decompress(packed), words)
+                    sizes.append(len(own))
+                    lists.append((own if centre is None else np.setxor1d(own, held[1], assume_unique=True)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["key", "id", "n", "d"])
+
+    some = members.where(drawn()).select("key", "id").join(texts, "id").groupBy("key").agg(F.collect_list("packed").alias("packs"))
+    centres = some.mapInArrow(centre, "key long, centre binary")
+    return members.select("key", "id").join(texts, "id").join(centres, "key", "left").select("key", "id", "packed", "centre").mapInArrow(differ, DIFFERING)
+
+
+def recentred(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n, d) with differences from a centre of their bucket's differences: what most of a few members have."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members"))
+    some = rows.join(sizes, "key").where(drawn(size="members")).select("key", "d")
+    half = some.groupBy("key").agg((F.count("*") / 2).alias("half"))
+    times = some.select("key", F.explode("d").alias("e")).groupBy("key", "e").agg(F.count("*").alias("times"))
+    centres = times.join(half, "key").where("times > half").groupBy("key").agg(F.collect_list("e").alias("centre"))
+    new = F.when(F.col("centre").isNull(), F.col("d")).otherwise(F.concat(F.array_except("d", "centre"), F.array_except("centre", "d")))
+    return rows.join(centres, "key", "left").select("key", "id", "n", new.alias("d"))
+
+
+def buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs (rep, member) of small buckets in (key, id); (key, id, n) of large ones, merged by medoid."""
+    score = members.groupBy("id").agg(F.sum("n").alias("score"))
+    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    pairs = few.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("rep"), b.alias("member")))))).alias("p"))
+    large = members.where(F.col("n") > SMALL)
+    medoids = large.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("medoid"))
+    merged = checkpointed(large.join(medoids, "key").select(F.col("medoid").alias("key"), "id").distinct())
+    sizes = merged.groupBy("key").agg(F.count("*").alias("n"))
+    return pairs.select("p.rep", "p.member").distinct(), merged.join(sizes, "key")
+
+
+def rarest_shared(left: DataFrame) -> DataFrame:
+    """(key, e, id, failed, all, failures): which of their rarest differences members share with a failed one.
+
+    ``left`` has (key, id, failed, spare, d); a member shows its ``size(d) + spare`` rarest ones.
+    """
+    elements = left.select("key", "id", "failed", "spare", F.explode("d").alias("e"))
+    several = elements.groupBy("key", "e").agg(F.count("*").alias("held")).where("held > 1")
+    by_rarity = F.array_sort(F.collect_list(F.struct("held", "e")))["e"].alias("shared")
+    ranked = elements.join(several, ["key", "e"]).groupBy("key", "id").agg(by_rarity, F.first("failed").alias("failed"), F.first("spare").alias("spare"))
+    ranked = ranked.withColumn("shown", (F.size("shared") + F.col("spare")).cast("int")).where("shown > 0")  # those that only one has come first
+    shown = checkpointed(ranked.select("key", "id", "failed", F.explode(F.slice("shared", F.lit(1), F.col("shown"))).alias("e")))
+    per = shown.groupBy("key", "e").agg(F.count("*").alias("all"), F.count_if("failed").alias("failures")).where("all > 1 and failures > 0")
+    return shown.join(per, ["key", "e"])
+
+
+def compared(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links found in buckets of (key, id, n, d), and the rows of the next round.
+
+    Sets of n1 and n2 shingles that differ from the centre in d1 and d2, c of them shared, are linked if
+    slack1 + slack2 + 2 * (100 + p) * c >= 0, where slack = (100 - p) * n - (100 + p) * d. So c must
+    reach a number that the slacks tell, and one of the rarest d1 - c + 1 differences must be shared.
     """
+    far, near = 100 + percent, 100 - percent
+    linked = lambda a, b, x, y: a + b + 2 * far * F.size(F.array_intersect(x, y)) >= 0
+    rows = rows.withColumn("slack", near * F.col("n") - far * F.size("d"))
+    best = rows.groupBy("key").agg(F.max_by(F.struct("id", "d", "slack"), F.struct("slack", -F.col("id"))).alias("rep"))
+    near_rep = linked(F.col("slack"), F.col("rep.slack"), F.col("d"), F.col("rep.d"))
+    seen = checkpointed(rows.join(best, "key").where("id != rep.id").select("key", "id", "n", "d", "slack", F.col("rep.id").alias("rep"), (~near_rep).alias("failed")))
+    found = [seen.where("not failed").select("rep", F.col("id").alias("member"))]
+    limits = seen.groupBy("key").agg(F.max("slack").alias("any"), F.max(F.when(F.col("failed"), F.col("slack"))).alias("of_failed")).where("of_failed is not null")
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.when(F.col("failed"), F.col("any")).otherwise(F.col("of_failed"))) / (2 * far)))
+    left = seen.join(limits, "key").select("key", "id", "n", "d", "slack", "failed", (1 - need).alias("spare"))
+    left = checkpointed(left.where(F.size("d") + F.col("spare") > 0))
+    if left.isEmpty():
+        return found, None
+    shown = checkpointed(rarest_shared(left))
+    few = shown.where(F.col("failures") <= SMALL)
+    failing = few.where("failed").groupBy("key", "e").agg(F.collect_list("id").alias("others"))
+    pairs = few.join(failing, ["key", "e"]).select("key", "id", F.explode("others").alias("other")).where("id != other")
+    pairs = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("key").alias("key"))
+    side = lambda c: left.select("key", F.col("id").alias(c), F.col("slack").alias(f"slack_{c}"), F.col("d").alias(f"d_{c}"))
+    both = pairs.join(side("a"), ["key", "a"]).join(side("b"), ["key", "b"])
+    found.append(checkpointed(both.where(linked(F.col("slack_a"), F.col("slack_b"), F.col("d_a"), F.col("d_b"))).select(F.col("a").alias("rep"), F.col("b").alias("member"))))
+    many = shown.where(F.col("failures") > SMALL).select(F.xxhash64("key", "e").alias("next"), "key", "id")
+    many = checkpointed(many.join(left.select("key", "id", "n", "d"), ["key", "id"]).select(F.col("next").alias("key"), "id", "n", "d"))
+    return found, None if many.isEmpty() else many
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id in the edges (rep, member): the smallest id it can reach."""
     both = edges.select(F.col("rep").alias("id"), F.col("member").alias("other")).unionByName(edges.select(F.col("member").alias("id"), F.col("rep").alias("other")))
     both = checkpointed(both.distinct())
     labels = checkpointed(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
     number = 0
-    while most is None or number < most:
+    while True:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
         new = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         if number:  # chains: double the distance that labels have come
@@ -177,86 +273,32 @@ def is_linked(percent: int) -> Column:
     return F.col("n_both") * 100 >= percent * (F.col("n_rep") + F.col("n_member") - F.col("n_both"))
 
 
-def rarest(rows: DataFrame, shown: Column, *also: str) -> DataFrame:
-    """Of rows (key, id, e), for each id the ``shown`` elements that are rarest in their bucket, if another has them."""
-    several = rows.groupBy("key", "e").agg(F.count("*").alias("held")).where("held > 1")
-    by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "e"))).alias("found")
-    ranked = rows.join(several, ["key", "e"], "left").groupBy("key", "id").agg(by_rarity, *[F.first(c).alias(c) for c in also])
-    first = F.slice("found", F.lit(1), shown.cast("int"))
-    return ranked.select("key", "id", *also, F.explode(F.filter(first, lambda x: x["held"] > 1)["e"]).alias("e"))
-
-
-def by_differences(verified: DataFrame, failed: DataFrame, among_failed: bool) -> DataFrame:
-    """Pairs (rep, member, hot) of failed members and others of the same medoid that may be linked.
-
-    Two sets of n1 and n2 shingles that differ from the medoid's in d1 and d2, c of them shared,
-    are linked if (100 + p) * (d1 + d2 - 2c) <= (100 - p) * (n1 + n2). The first isn't linked to
-    the medoid, of n: (100 + p) * d1 > (100 - p) * (n + n1). So the second must share over
-    d2 / 2 - (100 - p) / (200 + 2p) * (n2 - n) of its differences, and one of the rarest d2 minus
-    that. Where neither is linked to the medoid (``among_failed``), this holds for both.
-    """
-    own = verified.where("differences is not null").select(F.col("rep").alias("key"), F.col("member").alias("id"), "shown", "differences", "linked")
-    own = own.join(failed.select(F.col("rep").alias("key"), F.col("member").alias("id"), F.lit(True).alias("failed")), ["key", "id"], "left")
-    own = own.where(~F.col("linked") if among_failed else F.col("linked") | F.col("failed"))
-    shown = F.col("shown") if among_failed else F.when(F.col("linked"), F.col("shown")).otherwise(F.size("differences"))
-    rows = own.select("key", "id", shown.alias("shown"), F.coalesce("failed", F.lit(False)).alias("failed"), F.explode("differences").alias("e"))
-    rare = checkpointed(rarest(rows, F.col("shown"), "shown", "failed"))
-    left = rare.where("failed").select("key", "e", F.col("id").alias("a"))
-    right = rare.where(F.lit(True) if among_failed else ~F.col("failed")).select("key", "e", F.col("id").alias("b"))
-    shared = left.join(right, ["key", "e"]).where("a != b")
-    return shared.select(F.least("a", "b").alias("rep"), F.greatest("a", "b").alias("member"), F.lit(False).alias("hot")).distinct()
-
-
-def with_shown(verified: DataFrame, percent: int) -> DataFrame:
-    """Adds ``linked`` and ``shown``, how many of a member's rarest differences must be looked at."""
-    d, far, near = F.size("differences"), 100 + percent, 100 - percent
-    need = F.greatest(F.lit(1), F.floor((far * d - near * (F.col("n_member") - F.col("n_rep"))) / (2 * far)) + 1)
-    return verified.withColumns({"linked": is_linked(percent), "shown": d - need + 1})
-
-
-def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, rounds: int = ROUNDS) -> DataFrame | None:
+def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """Links (rep, member) enough to connect what is linked; ``classes``: (id, bands). None: no candidates."""
     bands = classes.select("id", F.explode("bands").alias("key"))
     several = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(bands.join(several, "key"))
     if members.isEmpty():
         return None
-    score = checkpointed(members.groupBy("id").agg(F.sum("n").alias("score")))
-    members = members.select("key", "id")
-    texts = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.mapInArrow(squeezed, "id long, packed binary").join(score.select("id"), "id", "left_semi")
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = texts.mapInArrow(squeezed, "id long, packed binary").join(members.select("id").distinct(), "id", "left_semi")
     texts = checkpointed(texts.groupBy("id").agg(F.min("packed").alias("packed")))
-    found = []
-    for number in range(rounds):
-        verified = checkpointed(verify(compared(members, score), texts, words))
-        found.append(verified.where(is_linked(percent)).select("rep", "member"))
-        hot = with_shown(verified.where("hot"), percent)
-        apart = hot.where("not linked").select("rep", "member")
-        if apart.isEmpty():
-            break
-        known = components(reduce(DataFrame.unionByName, found), 1)
-        side = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
-        failed = apart.join(side("rep"), "rep", "left").join(side("member"), "member", "left")
-        failed = checkpointed(failed.where("rep_in is null or member_in is null or rep_in != member_in").select("rep", "member"))
-        if failed.isEmpty():
-            break
-        pairs = by_differences(hot, failed, False)
-        last = number == rounds - 1 or hot.where("linked").isEmpty()
-        if last:
-            pairs = pairs.unionByName(by_differences(hot, failed, True)).distinct()
-        found.append(checkpointed(verify(pairs, texts, words)).where(is_linked(percent)).select("rep", "member"))
-        if last:
-            break
-        members = apart.join(failed.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("key"), F.col("member").alias("id"))
+    pairs, large = buckets(members)
+    found = [checkpointed(verify(pairs, texts, words)).where(is_linked(percent)).select("rep", "member")]
+    rows: DataFrame | None = checkpointed(differences(large, texts, words))
+    while rows is not None:
+        more, rows = compared(rows, percent)
+        found += more
+        rows = rows and checkpointed(recentred(rows))
     return reduce(DataFrame.unionByName, found)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     sets = checkpointed(signed(docs, words, bands, rows, id_col, text_col))
     classes = sets.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = checkpointed(classes)
-    edges = links(classes.select("id", "bands"), docs, words, percent, id_col, text_col, rounds)
+    edges = links(classes.select("id", "bands"), docs, words, percent, id_col, text_col)
     of_class = classes.select("digest", "id")
     if edges is not None:
         known = components(edges)

@@ -52,11 +52,12 @@ def corpus(seed, bases=12, copies=25):
     return rows + [(5000 + i, t) for i, t in enumerate(odd)]
 
 
-@pytest.mark.parametrize(("seed", "k", "percent", "rounds"), [(1, 3, 85, 2), (2, 3, 85, 1)])
-def test_components_match_brute_force(spark, seed, k, percent, rounds):
+@pytest.mark.parametrize(("seed", "k", "percent", "small"), [(1, 3, 85, 4), (2, 3, 80, 1)])
+def test_components_match_brute_force(spark, monkeypatch, seed, k, percent, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in [*rows, rows[0], rows[7], (None, rows[3][1])]], "doc_id long, text string, digest string, id int")
-    got = near_dedup.near_duplicates(docs, k, percent, rounds=rounds).collect()
+    got = near_dedup.near_duplicates(docs, k, percent).collect()
     want = brute(rows, k, percent)
     assert len(got) == docs.count()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
@@ -74,19 +75,56 @@ def test_tables_without_rows_or_candidates(spark):
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(apart).collect()} == {(1, 1), (2, 2)}
 
 
-def test_pairs_by_differences_lose_no_link(spark):
+def reached(links):
+    label = {}
+    root = lambda x: x if label.setdefault(x, x) == x else root(label[x])
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    return {frozenset(x for x in label if root(x) == r) for r in {root(x) for x in label}}
+
+
+def all_rounds(rows, percent):
+    found, rounds = [], 0
+    while rows is not None:
+        more, rows = near_dedup.compared(rows, percent)
+        found += [(r.rep, r.member) for df in more for r in df.collect()]
+        rows = rows and checkpointed(near_dedup.recentred(rows))
+        rounds += 1
+    return found, rounds
+
+
+@pytest.mark.parametrize("small", [0, 4])
+def test_rounds_lose_no_link(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rng = random.Random(9)
     base = set(range(100))
-    sets = [base ^ set(rng.sample(range(70, 130), rng.randint(4, 24))) for _ in range(60)]
-    rows = [(0, i, True, 100, len(s), len(s & base), sorted(s ^ base)) for i, s in enumerate(sets)]
-    verified = near_dedup.with_shown(checkpointed(spark.createDataFrame(rows, near_dedup.VERIFIED)), 85)
-    failed = verified.where("not linked").select("rep", "member")
-    gone = {r.member for r in failed.collect()}
-    for among in (False, True):
-        got = {(r.rep, r.member) for r in near_dedup.by_differences(verified, failed, among).collect()}
-        pairs = {(a, b) for a in range(60) for b in range(a + 1, 60) if len(gone & {a, b}) == 1 + among}
-        want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
-        assert want <= got < pairs and (want or among)
+    other = base ^ set(range(85, 115))  # a second group in the same bucket, apart from the first
+    sets = [x ^ set(rng.sample(range(70, 130), rng.randint(1, 16))) for x in (base, other) for _ in range(60)]
+    links = [(a, b) for a in range(120) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for centre in (base, set(), set(range(85, 140))):  # any centre will do
+        rows = spark.createDataFrame([(7, i, len(s), sorted(s ^ centre)) for i, s in enumerate(sets)], near_dedup.DIFFERING)
+        found, rounds = all_rounds(rows, 85)
+        assert reached(found) == reached(links) and rounds > 1
+        assert {(max(x), min(x)) for x in found} <= set(links)
+
+
+def test_unlinked_copies_of_one_template_make_few_candidates(spark):
+    rng = random.Random(4)
+    n, template, fresh = 5000, list(range(150)), iter(range(1000, 10**9))
+    sets = []
+    for _ in range(n):  # too many words replaced for any two to be linked, by words of their own
+        gone = set(rng.sample(template, rng.randint(25, 50)))
+        sets.append([x for x in template if x not in gone] + [next(fresh) for _ in gone])
+    rows = [(1, i, 150, sorted(set(s) ^ set(template)), i > 0, 0) for i, s in enumerate(sets)]
+    left = spark.createDataFrame(rows, "key long, id long, n long, d array<long>, failed boolean, spare int").repartition(8)
+    far, near = 185, 15
+    slack = near * 150 - far * near_dedup.F.size("d")
+    left = left.withColumn("spare", 1 - near_dedup.F.greatest(near_dedup.F.lit(1), near_dedup.F.ceil(-2 * slack / (2 * far))))
+    assert near_dedup.rarest_shared(left.withColumn("failed", near_dedup.F.lit(True))).count() < 2 * n
+    rows = left.select("key", "id", "n", "d")
+    found, _ = all_rounds(rows, 85)
+    assert not found
 
 
 def test_signatures_estimate_similarity():
