@@ -7,8 +7,12 @@ and the nearest codeword wins. A document is flagged as ambiguous when the runne
 
 Training reads at most ``per_lang`` documents for each language (a bounded sample of labelled
 rows, by smallest hash of the id; documents whose CRC-32 of the id leaves 0 modulo 5 are never
-learnt from). With more than ``FULL_LANGS`` languages each gets evenly fewer, one at least, so that
-all are learnt. Everything else reads every document whole.
+learnt from, and rows that repeat a document are learnt once). With more than ``FULL_LANGS``
+languages each gets evenly fewer, one at least, so that all are learnt. Everything else reads
+every document whole.
+
+As a filter it keeps a document if its text has a letter and its two best codewords are at least
+``reject_under`` of the probability apart; what is closer is in no language that was learnt.
 
 Defined results: a null text, an empty text or one without any letter is ``und`` with score 0,
 not ambiguous. With no labelled rows everything is ``und``. A single language has no bit to
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, named
 
-DIMS, BITS, PER_LANG, FULL_LANGS = 4096, 15, 400, 64
+DIMS, BITS, PER_LANG, FULL_LANGS, REJECT_UNDER = 4096, 15, 400, 16, 0.02
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 #: Multipliers that spread code points over the n-gram buckets.
 ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -95,12 +99,12 @@ def fit(features: np.ndarray, labels: list[str], bits: int = BITS, steps: int =
     y = codes[y_index].astype(np.float32)
     x = np.sqrt(features)
     scale = (1 / (x.std(0) + 0.01)).astype(np.float32)
-    x = x * scale
+    x *= scale
     share = 1 / np.bincount(y_index, minlength=len(languages))[y_index]
     share = (share / share.sum())[:, None].astype(np.float32)
     w, b = np.zeros((x.shape[1], bits), np.float32), np.zeros(bits, np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    rate = 2.0 / max(1.0, float((x**2).sum(1).mean()))
+    rate = 2.0 / max(1.0, float(np.einsum("ij,ij->i", x, x).mean()))
     for _ in range(steps):
         g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * share
         vw = 0.9 * vw - rate * (x.T @ g + ridge * w)
@@ -117,17 +121,25 @@ def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    per_lang = min(per_lang, max(1, FULL_LANGS * per_lang // max(1, rows.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
-    chosen = rows.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"])
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = counts.count()
+    per_lang = min(per_lang, max(1, FULL_LANGS * per_lang // max(1, languages)))
+    counts = F.broadcast(counts) if languages <= 10_000 else counts
+    # by count and hash about twice as many come near the window as it keeps, however large a language is
+    near = rows.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("rows")) < 2 * per_lang + 64).select("lang", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("lang", "doc_id")
+    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     found = chosen.select("lang", "text").mapInArrow(with_features, "lang string, features binary").toArrow()
     if not found.num_rows:
         return None
     order = sorted(zip(found.column("lang").to_pylist(), found.column("features").to_pylist(), strict=True))
-    return fit(np.stack([np.frombuffer(f, np.float16) for _, f in order]).astype(np.float32), [lang for lang, _ in order])
+    features = np.empty((len(order), DIMS), np.float32)
+    for row, (_, own) in zip(features, order, strict=True):
+        row[:] = np.frombuffer(own, np.float16)
+    return fit(features, [lang for lang, _ in order])
 
 
 def predict_languages(docs: DataFrame, model: Model | None, ambiguous_under: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,14 +161,15 @@ def predict_languages(docs: DataFrame, model: Model | None, ambiguous_under: flo
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(named(id_col).alias("doc_id"), held_out(named(id_col)).alias("held_out"), named(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), held_out(named(id_col)).alias("held_out"), named(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and so is in some language.
+def keep_identified(docs: DataFrame, model: Model | None, reject_under: float = REJECT_UNDER, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in some language.
 
-    Without a model the language is undecided, and every text with a letter is kept just so.
+    Without a model the language is undecided, and every text with a letter is kept just so; a
+    model of a single language decides as little.
     """
     names = docs.columns
 
@@ -166,8 +179,11 @@ def keep_identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
             texts = batch.column(names.index(text_col)).to_pylist()
             for at in range(0, len(texts), 512):
                 some = texts[at : at + 512]
-                top = np.ones(len(some)) if model is None else model.decode(ngram_frequencies(some))[1]
-                keep[at : at + 512] = [t is not None and any(map(str.isalpha, t)) and p > 0 for t, p in zip(some, top, strict=True)]
+                apart = np.ones(len(some))
+                if model is not None and len(model.languages) > 1:
+                    _, top, second = model.decode(ngram_frequencies(some))
+                    apart = top - second
+                keep[at : at + 512] = [t is not None and any(map(str.isalpha, t)) and gap >= reject_under for t, gap in zip(some, apart, strict=True)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
