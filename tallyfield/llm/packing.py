@@ -32,16 +32,12 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def cut_pieces(path: str, width: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rest = tokens.chunk_cache(path), tokens.chunk_cache(path, " ")
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for some in tokens.slices(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), 256):
-                parts = [tokens.chunks(t) for _, t in some]
-                heads = first.learn({p[0] for p in parts})
-                held = rest.learn(set().union(*(p[1:] for p in parts)))
-                for (doc, _), p in zip(some, parts, strict=True):
-                    ids = heads[p[0]] + b"".join([held[x] for x in p[1:]]) + last
+                for (doc, _), ids in zip(some, tokens.text_ids(path, [t for _, t in some]), strict=True):
+                    ids += last
                     for at in range(0, len(ids), 4 * width):
                         piece = ids[at : at + 4 * width]
                         rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, *([np.frombuffer(piece, "<i4")] if with_ids else [])))

@@ -57,6 +57,12 @@ def vocabulary(path: str) -> tuple[dict, dict[str, int], dict[str, int]] | None:
     return spec, {t: i for t, i in vocab.items() if t not in special}, shown
 
 
+def parted(ids: np.ndarray, cuts: np.ndarray, skip: int) -> list[bytes]:
+    """The ids between cuts, as bytes; ``skip`` ids after each cut belong to no part."""
+    whole = ids.tobytes()
+    return [whole[a:b] for a, b in zip([0, *(4 * (cuts + skip)).tolist()], [*(4 * cuts).tolist(), len(whole)], strict=True)]
+
+
 class QuickBytes:
     """Words for a byte-level vocabulary, with a library that is faster on new words; ids are the same."""
 
@@ -70,9 +76,9 @@ class QuickBytes:
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.newline = self.encoding.encode_ordinary("\n")[0]
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
+    def encode(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.encoding.encode_ordinary("\n".join(words)), "<u4")
-        return [own[own != self.newline] for own in np.split(ids, np.flatnonzero(ids == self.newline))]
+        return parted(ids, np.flatnonzero(ids == self.newline), 1)
 
 
 class QuickLetters:
@@ -89,9 +95,9 @@ class QuickLetters:
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
+    def encode(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.encoding.encode_ordinary("\0".join(words).lower() + "\0"), "<u4")
-        return np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
+        return parted(ids, np.flatnonzero(self.ends[ids])[:-1] + 1, 0)
 
 
 def quick_words(path: str) -> QuickBytes | QuickLetters | None:
@@ -110,19 +116,17 @@ class ChunkCache:
     """Every chunk as little-endian 32-bit ids, computed once; ``prefix`` is put before each chunk.
 
     Letters that marks follow are encoded apart from the marks, which are rare in kind: no token
-    crosses from one to the other. Beyond ``limit`` chunks the later half is forgotten, which
-    changes speed alone; what came first is what is frequent.
+    crosses from one to the other. Beyond about ``limit`` bytes of memory the later half is
+    forgotten, which changes speed alone; what came first is what is frequent.
     """
 
-    def __init__(self, path: str, prefix: str = "", limit: int = 1_000_000):
+    def __init__(self, path: str, prefix: str = "", limit: int = 144 << 20):
         self.tokenizer, self.quick, self.prefix, self.limit = load(path), quick_words(path), prefix, limit
         self.held: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.bytes = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [x.tobytes() for x in self.ids(texts)]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; plain words share a call."""
         out: list = [None] * len(texts)
         plain = [k for k, t in enumerate(texts) if self.quick.plain.fullmatch(t)] if self.quick else []
@@ -130,14 +134,16 @@ class ChunkCache:
             for k, own in zip(some, self.quick.encode([texts[k] for k in some]), strict=True):
                 out[k] = own
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, "<u4")
+        for some in slices(rest, 1024):
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
     def learn(self, parts: set[str]) -> dict[str, bytes]:
-        if len(self.held) > self.limit:
-            self.held = dict(itertools.islice(self.held.items(), self.limit // 2))
         held, marks = self.held, self.marks
+        if self.bytes > self.limit:
+            self.held = held = dict(itertools.islice(held.items(), len(held) // 2))
+            self.bytes //= 2
         cut = {x: STEM.fullmatch(x) for x in parts.difference(held)}
         stems = {m[1] if m else x for x, m in cut.items()}.difference(held)
         tails = {m[2] for m in cut.values() if m}.difference(marks)
@@ -146,21 +152,54 @@ class ChunkCache:
         for x, m in cut.items():
             if m:
                 held[x] = held[m[1]] + marks[m[2]]
+        self.bytes += 240 * len(cut) + 5 * sum(map(len, cut))
         return held
 
 
 @functools.cache
-def chunk_cache(path: str, prefix: str = "") -> ChunkCache:
-    """One cache for each worker process."""
+def _chunk_cache(path: str, prefix: str) -> ChunkCache:
     return ChunkCache(path, prefix)
 
 
+def chunk_cache(path: str, prefix: str = "") -> ChunkCache:
+    """One cache of each kind for a worker process."""
+    return _chunk_cache(path, prefix)
+
+
+@functools.cache
+def ahead(path: str) -> str | None:
+    """What the first character of each later chunk is; None where texts can't be cut into chunks."""
+    words = quick_words(path)
+    return " " if isinstance(words, QuickBytes) else "" if words else None
+
+
+def text_ids(path: str, texts: list[str]) -> list[bytes]:
+    """The ids of whole texts, as little-endian 32-bit numbers."""
+    if ahead(path) is None:
+        return [np.array(e.ids, "<u4").tobytes() for e in chunk_cache(path).tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    first, rest = chunk_cache(path), chunk_cache(path, ahead(path))
+    parts = [chunks(t) for t in texts]
+    heads = first.learn({p[0] for p in parts})
+    if first is rest:
+        heads = first.learn(set().union(*parts))
+        return [b"".join([heads[x] for x in p]) for p in parts]
+    held = rest.learn(set().union(*(p[1:] for p in parts)))
+    return [heads[p[0]] + b"".join([held[x] for x in p[1:]]) for p in parts]
+
+
 @functools.cache
-def id_names(path: str) -> tuple[list[str], list[str]]:
-    """For each id its decimal digits and its token."""
+def id_names(path: str) -> tuple[list[str], list[str] | None]:
+    """For each id its decimal digits and its token; no tokens where the vocabulary has a decoder of its own."""
     tokenizer = load(path)
     size = tokenizer.get_vocab_size()
-    return [str(i) for i in range(size)], [tokenizer.id_to_token(i) for i in range(size)]
+    plain = tokenizer.decoder is None and "decoder" in (spec := json.loads(Path(path).read_text())) and spec["decoder"] is None
+    return [str(i) for i in range(size)], [tokenizer.id_to_token(i) for i in range(size)] if plain else None
+
+
+def decoded(path: str, ids: list[int]) -> str:
+    """The library's decode; without a decoder it puts spaces between tokens."""
+    names = id_names(path)[1]
+    return " ".join([names[i] for i in ids]) if names else chunk_cache(path).tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def slices(items: list, most: int):

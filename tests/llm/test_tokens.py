@@ -25,16 +25,19 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string, start int")
 
 
-def expected(text):
-    t = load(WORD)
+def expected(text, path=WORD):
+    t = load(path)
     ids = t.encode(text or "", add_special_tokens=False).ids
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     return len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))
 
 
-def test_bpe_matches_whole_text_encoding(spark, docs):
-    got = sorted(map(tuple, bpe.token_digests(docs, WORD, long_chars=4096).collect()))
-    assert got == sorted((r.doc_id, *expected(r.text)) for r in docs.collect())
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("long_chars", [4, 4096, 1_000_000])
+def test_bpe_matches_whole_text_encoding(spark, docs, path, long_chars):
+    some = docs if long_chars > 4 else docs.where("length(text) < 100")
+    got = sorted(map(tuple, bpe.token_digests(some.withColumn("doc_id", some.doc_id.cast("int")), path, long_chars=long_chars).collect()))
+    assert got == sorted((r.doc_id, *expected(r.text, path)) for r in some.collect())
     assert bpe.token_digests(docs.limit(0), WORD).count() == 0
 
 
@@ -52,7 +55,21 @@ def test_joined_halves_equal_the_whole(text, data):
     t = load(WORD)
     cut = data.draw(st.integers(1, len(text) - 1))
     left, right = bpe.encode_spans(t, text[:cut]), bpe.encode_spans(t, text[cut:], cut)
-    assert bpe.join_spans(t, text, left, right, 0, len(text)).ids == t.encode(text, add_special_tokens=False).ids
+    assert bpe.join_spans(t, text, left, right, 0, len(text)).ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abtheing  on'sl!?1 é́日\n", min_size=2, max_size=200), st.integers(1, 6), st.integers(1, 60))
+def test_pieces_with_and_without_places(text, edge, step):
+    for path in (WORD, BYTE):
+        t = load(path)
+        starts = range(0, len(text), step)
+        parts = [(a, min(len(text), a + step), bpe.encode_piece(path, text[a : a + step], a, edge)) for a in starts]
+        for a, b, own in parts:
+            whole = bpe.encode_spans(t, text[a:b], a)
+            seen = own.starts >= 0
+            assert (own.ids == whole.ids).all() and (own.starts == whole.starts)[seen].all() and (own.ends == whole.ends)[seen].all()
+        assert bpe.fold(t, text, parts).ids.tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
