@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,14 +39,20 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-# The looser patterns, with the kinds that each proposes.
+#: A part of an address up to 255, leading zeros allowed; zeros alone are 0.
+OCTET = "(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
+# The looser patterns, with the kinds that each proposes, and what a text must hold to be searched.
+NEEDS = {
+    "written": r"@|[(\[]at[)\]]|at [A-Za-z0-9-]++ ?+(?:\.[A-Za-z]|\(dot\)|\[dot\]|dot )",
+    "number": r"[0-9](?:[ ().\-/]{0,2}+[0-9]){6}",
+    "address": r"[0-9] ?+(?:\[\.\]|\(dot\)|\. |\[dot\]) ?+[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:",
+}
 LOOSE = {
     "written": (rf"(?<!{EMAIL_RUN}){EMAIL_RUN}++ ?+(?:@|\(at\)|\[at\]|at ) ?+[A-Za-z0-9-]++(?: ?+(?:\.|\(dot\)|\[dot\]|dot ) ?+[A-Za-z0-9-]++)++", ("email",)),
     "number": (r"(?<![0-9A-Za-z])[+(]?+[0-9](?:[ ().\-/]{0,2}+[0-9]){6,}+(?![0-9A-Za-z])", ("phone", "card")),
-    "address": (r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?: ?+(?:\[\.\]|\(dot\)| \. |\[dot\]) ?+[0-9]{1,3}+){3}(?![0-9A-Za-z.])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ("ip",)),
+    "address": (r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?: ?+(?:\[\.\]|\(dot\)|(?<= )\. |\[dot\]) ?+[0-9]{1,3}+){3}(?![0-9A-Za-z.])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ("ip",)),
 }
-NEAR = 24
+NEAR, FOLDS = 24, 5
 CONTEXT = {
     "reach": r"(?i)\b(?:call|tel|phone|fax|mobile|cell|dial|text|whatsapp)",
     "write": r"(?i)\b(?:mail|e-?mail|write|contact|reach|send)",
@@ -103,8 +110,9 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def loose_spans(text: Column) -> list[Column]:
     found = []
-    for pattern, kinds in LOOSE.values():
-        spans = located(text, pattern, KINDS.index(kinds[0]), 0)
+    none = F.array().cast(f"array<{SPAN}>")
+    for name, (pattern, kinds) in LOOSE.items():
+        spans = F.when(text.rlike(NEEDS[name]), located(text, pattern, KINDS.index(kinds[0]), 0)).otherwise(none)
         if "card" in kinds:  # longer runs of digits are no phone number or card
             spans = F.filter(spans, lambda x: F.char_length(digits(x["value"])) <= 19)
         found.append(spans)
@@ -187,25 +195,33 @@ def grow(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, depth: int, rate:
     return Node(FEATURES[f], cut, 0.0, left, right), out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, depth: int = 3, rate: float = 0.3, precision: float = 0.98) -> Model:
-    """Boosted trees on three quarters of the rows; thresholds by kind on the rest."""
-    fitted = np.arange(len(y)) % 4 != 0
-    prior = float(np.log((y[fitted].mean() + 0.01) / (1.01 - y[fitted].mean())))
-    total, trees = np.full(int(fitted.sum()), prior), []
-    parts = np.full(len(y), prior)
+def boost(x: np.ndarray, y: np.ndarray, family: np.ndarray, rounds: int = 25, depth: int = 3, rate: float = 0.3, precision: float = 0.9) -> Model:
+    """Boosted trees; thresholds by kind on scores that each family of templates gets from trees fitted on the others."""
+    scores = np.zeros(len(y))
+    for fold in range(FOLDS):
+        own = family % FOLDS == fold
+        prior, trees = fitted(x[~own], y[~own], rounds, depth, rate)
+        scores[own] = [prior + sum(walk(t, row) for t in trees) for row in x[own]]
+    p = 1 / (1 + np.exp(-scores))
+    thresholds = []
+    for kind in range(len(KINDS)):
+        own = (x[:, 0] == kind) & (x[:, 1] == 0)
+        reached = {float(t): y[own & (p >= t)].mean() for t in np.linspace(0.5, 0.95, 10) if (own & (p >= t)).any()}
+        wanted = min(precision, max(reached.values(), default=0.0))  # the lowest threshold that is precise enough, else the most precise
+        thresholds.append(min((t for t, r in reached.items() if r >= wanted), default=0.95))
+    prior, trees = fitted(x, y, rounds, depth, rate)
+    return Model(prior, tuple(trees), tuple(thresholds))
+
+
+def fitted(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float) -> tuple[float, list[Node]]:
+    prior = float(np.log((y.mean() + 0.01) / (1.01 - y.mean())))
+    total, trees = np.full(len(y), prior), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-total))
-        tree, gain = grow(x[fitted], p - y[fitted], p * (1 - p), depth, rate)
+        tree, gain = grow(x, p - y, p * (1 - p), depth, rate)
         trees.append(tree)
         total += gain
-        parts += [walk(tree, row) for row in x]
-    p = 1 / (1 + np.exp(-parts))
-    thresholds = []
-    for kind in range(len(KINDS)):
-        own = ~fitted & (x[:, 0] == kind)
-        good = [t for t in np.linspace(0.5, 0.95, 10) if not (own & (p >= t)).any() or y[own & (p >= t)].mean() >= precision]
-        thresholds.append(float(good[0]) if good else 1.1)
-    return Model(prior, tuple(trees), tuple(thresholds))
+    return prior, trees
 
 
 def walk(node: Node, row: np.ndarray) -> float:
@@ -219,60 +235,106 @@ def luhn_complete(number: str) -> str:
     return number + str(-total % 10)
 
 
-def examples(n: int = 600, seed: int = 11) -> list[tuple[str, str, str]]:
-    """(text, personal value or empty, kind) made from templates."""
+def families() -> list[tuple[str, Callable[[random.Random], str], tuple[str, ...]]]:
+    """Templates of spans: kind (empty: not personal), a maker of the value, words that stand before it."""
+    number = lambda r, k: "".join(r.choices("0123456789", k=k))
+    word = lambda r: "".join(r.choices(("an", "er", "tion", "the", "ou", "re", "ich", "eau", "os"), k=r.randint(1, 3)))
+    octets = lambda r, s: s.join(str(r.randint(0, 255)) for _ in range(4))
+    end = lambda r: r.choice(("com", "org", "net", "io", "de"))
+
+    def card(r: random.Random, between: str, digits: int = 16) -> str:
+        n = luhn_complete(number(r, digits - 1))
+        return between.join([n[:4], n[4:10], n[10:]] if digits == 15 else [n[i : i + 4] for i in range(0, digits, 4)])
+
+    def masked(r: random.Random) -> str:
+        n = number(r, 16)
+        return n if not luhn_ok(n) else n[:-1] + str((int(n[-1]) + 1) % 10)
+
+    mail, call, pay, host = ("write to", "mail", "contact:", "email", "reach me:", ""), ("call", "tel.", "phone:", "fax", "mobile", "dial"), ("card", "visa", "pay with", "charge", ""), ("server", "host", "login from", "ip", "")
+    none, ref, total = ("", "near", "and"), ("order", "ref", "invoice", "serial", "item", "id", "code"), ("total", "page", "build", "version")
+    return [
+        ("email", lambda r: f"{word(r)}.{number(r, 2)} (at) {word(r)} (dot) {end(r)}", mail),
+        ("email", lambda r: f"{word(r)}[at]{word(r)}[dot]{end(r)}", mail),
+        ("email", lambda r: f"{word(r)} at {word(r)} dot {end(r)}", mail[:-1]),
+        ("email", lambda r: f"{word(r)} @ {word(r)}.{end(r)}", mail),
+        ("email", lambda r: f"{word(r)}{number(r, 1)} [at] {word(r)} . {end(r)}", mail),
+        ("phone", lambda r: f"({number(r, 3)}) {number(r, 3)}-{number(r, 4)}", (*call, "")),
+        ("phone", lambda r: f"{number(r, 3)}-{number(r, 3)}-{number(r, 4)}", call),
+        ("phone", lambda r: f"{number(r, 3)}.{number(r, 3)}.{number(r, 4)}", call),
+        ("phone", lambda r: f"0{number(r, 2)} {number(r, 4)} {number(r, 4)}", call),
+        ("phone", lambda r: f"1-800-{number(r, 3)}-{number(r, 4)}", call),
+        ("phone", lambda r: f"00{number(r, 2)} {number(r, 3)} {number(r, 6)}", call),
+        ("phone", lambda r: f"{number(r, 3)} {number(r, 3)} {number(r, 4)}", call),
+        ("phone", lambda r: f"+{number(r, 2)} {number(r, 3)} {number(r, 3)} {number(r, 4)}", (*call, "")),
+        ("card", lambda r: card(r, "."), pay),
+        ("card", lambda r: card(r, " ", 15), pay),
+        ("card", lambda r: card(r, "-"), pay),
+        ("card", lambda r: card(r, "  "), pay),
+        ("card", lambda r: card(r, "/"), pay),
+        ("ip", lambda r: octets(r, "[.]"), host),
+        ("ip", lambda r: octets(r, " . "), host[:-1]),
+        ("ip", lambda r: octets(r, "[dot]"), host),
+        ("ip", lambda r: octets(r, "(dot)"), host),
+        ("ip", lambda r: octets(r, "."), host),
+        ("ip", lambda r: ":".join(f"{r.randint(0, 65535):x}" for _ in range(8)), host),
+        ("", lambda r: f"{r.randint(1990, 2030)}-{number(r, 2)}-{number(r, 2)} {number(r, 2)}", ("date", "on", "")),
+        ("", lambda r: f"{number(r, 2)}/{number(r, 2)}/{r.randint(1990, 2030)} {number(r, 4)}", ("date", "from", "")),
+        ("", lambda r: f"{r.randint(1990, 2030)}.{number(r, 2)}.{number(r, 2)}", ("date", "")),
+        ("", lambda r: number(r, r.randint(7, 12)), (*ref, *none)),
+        ("", lambda r: f"{number(r, 3)}-{number(r, 4)}-{number(r, 3)}", ref),
+        ("", lambda r: f"978-{number(r, 1)}-{number(r, 4)}-{number(r, 4)}-{number(r, 1)}", ("isbn", "")),
+        ("", lambda r: masked(r), (*ref, *none)),
+        ("", lambda r: number(r, r.randint(13, 15)), (*ref, *none)),
+        ("", lambda r: f"{number(r, 3)} {number(r, 3)} {number(r, 3)} {number(r, 2)}", (*total, *none)),
+        ("", lambda r: f"{number(r, 2)}.{number(r, 3)}.{number(r, 3)}", (*total, *none)),
+        ("", lambda r: f"{number(r, 3)} {number(r, 3)} {number(r, 4)}", (*total, *none)),
+        ("", lambda r: f"{number(r, 4)} / {number(r, 4)}", (*total, *none)),
+        ("", lambda r: f"{word(r)} at {word(r)}. {word(r)}", ("", "look", "meet")),
+        ("", lambda r: f"look at {word(r)} dot {word(r)}", none),
+        ("", lambda r: f"{word(r)} at {word(r)}.{word(r)}", ("", "look", "stay")),
+        ("", lambda r: "".join(r.choices("0123456789abcdef", k=40)), ("token =", "key", "")),
+        ("", lambda r: ":".join(number(r, 2) for _ in range(8)), ("time", "code", "")),
+    ]
+
+
+def luhn_ok(number: str) -> bool:
+    return luhn_complete(number[:-1]) == number
+
+
+def examples(each: int = 28, seed: int = 11) -> list[tuple[str, str, str, int]]:
+    """(text, personal value or empty, kind, family): ``each`` sentences of every family."""
     rng = random.Random(seed)
-    some = lambda *x: rng.choice(x)
-    number = lambda k: "".join(rng.choices("0123456789", k=k))
     word = lambda: "".join(rng.choices(("an", "er", "tion", "the", "ou", "re", "ich", "eau", "os"), k=rng.randint(1, 3)))
     out = []
-    for _ in range(n):
-        a, b = " ".join(word() for _ in range(rng.randint(0, 6))), " ".join(word() for _ in range(rng.randint(0, 6)))
-        octet = lambda: str(rng.randint(0, 255))
-        card = luhn_complete(number(15))
-        made = some(
-            ("email", f"{word()}.{number(2)}{some('@', ' (at) ', '[at]', ' [at] ')}{word()}{some('.', ' (dot) ', '[dot]')}{some('com', 'org', 'net')}", some("write to", "mail", "contact:", "")),
-            ("phone", f"({number(3)}) {number(3)}-{number(4)}", some("call", "tel.", "phone:", "fax")),
-            ("phone", f"{number(3)}{(s := some('-', '.', ' '))}{number(3)}{s}{number(4)}", some("call", "tel.", "mobile")),
-            ("phone", f"+{some('1', '44', '49')} {number(3)} {number(3)} {number(4)}", some("call", "", word())),
-            ("card", some(card, " ".join(card[i : i + 4] for i in range(0, 16, 4)), "-".join(card[i : i + 4] for i in range(0, 16, 4)), ".".join(card[i : i + 4] for i in range(0, 16, 4))), some("card", "visa", "pay with", "", word())),
-            ("ip", f"{octet()}{(s := some('.', '[.]', '[dot]'))}{octet()}{s}{octet()}{s}{octet()}", some("server", "from", "host", "")),
-            ("ip", ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8)), some("ip", "host", "")),
-            ("", f"{rng.randint(1990, 2030)}{(s := some('-', '/', '.'))}{number(2)}{s}{number(2)} {number(2)}", some("date", "on", "")),
-            ("", number(rng.randint(7, 15)), some("order", "invoice", "id", "total", "", word())),
-            ("", f"{number(3)}-{number(4)}-{number(3)}", some("serial", "ref", "item", "isbn", "")),
-            ("", number(rng.randint(13, 19)), some("serial", "key", "order", "", word())),
-            ("", f"{number(3)} {number(3)} {number(3)} {number(2)}", some("total", "page", "", word())),
-            ("", f"{number(2)}.{number(3)}.{number(3)}", some("total", "version", "")),
-            ("", f"{number(4)} / {number(4)}", some("page", "")),
-            ("", f"look at {word()} dot {word()}", some("", word())),
-            ("", f"{word()} at {word()}. {word()}", some("", word())),
-            ("", "".join(rng.choices("0123456789abcdef", k=40)), some("token =", "key", "")),
-        )
-        kind, value, before = made
-        out.append((f"{a} {before} {value} {b}.", value if kind else "", kind))
+    for family, (kind, make, before) in enumerate(families()):
+        for _ in range(each):
+            a, b = " ".join(word() for _ in range(rng.randint(0, 6))), " ".join(word() for _ in range(rng.randint(0, 6)))
+            value = make(rng)
+            out.append((f"{a} {rng.choice(before)} {value} {b}.", value if kind else "", kind, family))
     return out
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """rows (…, text) with base spans by kind and all candidates with their features."""
+    """rows (…, text) with the spans of the base patterns by kind (``base``) and of the looser ones (``loose``)."""
     text = F.col("text")
-    found = rows.select("*", *[c.alias(f"base_{k}") for k, c in base_spans(text).items()], *[c.alias(f"loose_{i}") for i, c in enumerate(loose_spans(text))])
-    loose = [f"loose_{i}" for i in range(len(LOOSE) + 1)]
-    return found.withColumn("proposed", F.concat(*[F.col(f"base_{k}") for k in KINDS], *map(F.col, loose))).drop(*loose)
+    return rows.select("*", F.concat(*base_spans(text).values()).alias("base"), F.concat(*loose_spans(text)).alias("loose"))
+
+
+def measured(spark: SparkSession, made: list[tuple[str, str, str, int]]) -> np.ndarray:
+    """Features of every candidate in sentences of ``examples``, then family and whether it is right."""
+    lines = F.lit("\x01".join("\x02".join((t, v, str(KINDS.index(k) if k else -1), str(f))) for t, v, k, f in made))  # one literal plans faster than many
+    parts = spark.range(1).select(F.explode(F.split(lines, "\x01")).alias("line")).select(F.split("line", "\x02").alias("p"))
+    table = parts.select(*[F.col("p")[i].alias(c) for i, c in enumerate(("text", "truth"))], *[F.col("p")[i].cast("int").alias(c) for i, c in enumerate(("truth_kind", "family"), 2)])
+    rows = candidates(table).select("text", "truth", "truth_kind", "family", F.explode(F.concat("base", "loose")).alias("x"))
+    right = (F.col("x.kind") == F.col("truth_kind")) & F.contains(F.col("truth"), F.col("x.value")) & (F.char_length("x.value") * 2 > F.char_length("truth"))
+    table = rows.select(*[c.cast("double").alias(k) for k, c in features(F.col("text"), F.col("x")).items()], F.col("family").cast("double").alias("family"), right.cast("double").alias("right"))
+    return np.array(sorted(map(tuple, table.collect())))
 
 
 @functools.cache
 def _trained(session_id: str, spark: SparkSession) -> Model:
-    made = examples()
-    literal = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(v).alias("truth"), F.lit(KINDS.index(k) if k else -1).alias("truth_kind")) for t, v, k in made])
-    rows = candidates(spark.range(1).select(F.inline(literal)))
-    measured = rows.select("text", "truth", "truth_kind", F.explode("proposed").alias("x"))
-    right = (F.col("x.kind") == F.col("truth_kind")) & F.contains(F.col("truth"), F.col("x.value")) & (F.char_length("x.value") * 2 > F.char_length("truth"))
-    table = measured.select(*[c.cast("double").alias(k) for k, c in features(F.col("text"), F.col("x")).items()], right.cast("double").alias("right")).collect()
-    data = np.array(sorted(map(tuple, table)))
-    data = data[np.random.default_rng(5).permutation(len(data))]
-    return boost(data[:, :-1], data[:, -1])
+    data = measured(spark, examples())
+    return boost(data[:, :-2], data[:, -1], data[:, -2].astype(int))
 
 
 def train(spark: SparkSession) -> Model:
@@ -281,22 +343,20 @@ def train(spark: SparkSession) -> Model:
 
 
 def find_spans(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with ``pii_base`` and ``pii_spans``: (kind, start, end, …) by kind, then start."""
-    kept = rows.columns
-    inner = rows.select(F.struct(*[named(c) for c in kept]).alias("row"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    found = candidates(inner)
+    """``row`` (all columns), ``base`` and ``spans``: (kind, start, end, …) by kind, then start."""
+    inner = rows.select(F.struct(*[named(c) for c in rows.columns]).alias("row"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    # what touches a base span could not be added
+    apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    found = candidates(inner).withColumn("loose", F.filter("loose", apart))
 
     def scored(x: Column) -> Column:
-        own = features(F.col("text"), x)
-        names = {k: c.alias(k) for k, c in own.items()}
-        return F.struct(x.alias("span"), F.struct(*names.values()).alias("f"))
+        return F.struct(x.alias("span"), F.struct(*[c.alias(k) for k, c in features(F.col("text"), x).items()]).alias("f"))
 
-    measured = found.withColumn("measured", F.transform("proposed", scored))
     limits = F.array(*map(F.lit, model.thresholds))
-    weighed = measured.withColumn(
+    weighed = found.withColumn("measured", F.transform("loose", scored)).withColumn(
         "weighed", F.transform("measured", lambda m: m["span"].withField("score", model.score({k: m["f"][k] for k in FEATURES})))
-    ).withColumn("pii_base", F.concat(*[F.col(f"base_{k}") for k in KINDS]))
-    chosen = F.filter("weighed", lambda x: (x["base"] == 0) & (x["score"] >= F.element_at(limits, x["kind"] + 1)))
+    )
+    chosen = F.filter("weighed", lambda x: x["score"] >= F.element_at(limits, x["kind"] + 1))
     ranked = F.array_sort(F.transform(chosen, lambda x: F.struct((-x["score"]).alias("order"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))))
 
     def add(acc: Column, x: Column) -> Column:
@@ -304,8 +364,8 @@ def find_spans(rows: DataFrame, model: Model, text_col: str = "text") -> DataFra
         touches = F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
         return F.when(touches, acc).otherwise(F.concat(acc, F.array(span)))
 
-    spans = F.array_sort(F.aggregate(ranked, F.col("pii_base"), add))
-    return weighed.withColumn("pii_spans", spans).select("row.*", "pii_base", "pii_spans")
+    spans = F.when(F.size("weighed") > 0, F.array_sort(F.aggregate(ranked, F.col("base"), add))).otherwise(F.col("base"))
+    return weighed.select("row", "base", spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -316,20 +376,27 @@ def written(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
-    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     found = find_spans(rows, model or train(docs.sparkSession))
-    kinds = F.transform("pii_base", lambda x: x["kind"])
+    kinds = F.transform("base", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    added = (F.size("pii_spans") - F.size("pii_base")).cast("long").alias("n_added")
-    return found.select("doc_id", *counts, F.sha2(written(F.col("pii_base")), 256).alias("base_sha256"), written(F.col("pii_spans")).alias("spans"), added)
+    found = found.withColumn("listed", written(F.col("spans")))
+    return found.select(
+        "row.doc_id",
+        *counts,
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        F.col("listed").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_found"),
+    )
 
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by its kind in angle brackets; overlapping spans become one."""
     found = find_spans(docs, model or train(docs.sparkSession), text_col)
-    text = named(text_col)
+    text = F.col("row")[text_col]
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_start = F.array_sort(F.transform("pii_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def step(acc: Column, x: Column) -> Column:
         apart = x["start"] >= acc["at"]
@@ -337,5 +404,5 @@ def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text")
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    done = F.when(F.size("pii_spans") > 0, clean).otherwise(text)
-    return found.select(*[done.alias(c) if c == text_col else named(c) for c in docs.columns])
+    done = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return found.select(*[(done if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
