@@ -202,18 +202,20 @@ def buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rarest_shared(left: DataFrame) -> DataFrame:
-    """(key, e, id, failed, all, failures): which of their rarest differences members share with a failed one.
+    """(key, e, id, failed, close): which of their rarest differences members show, where another has them.
 
-    ``left`` has (key, id, failed, spare, d); a member shows its ``size(d) + spare`` rarest ones.
+    ``left`` has (key, id, failed, close, wide, d). A member shows its ``size(d) + wide`` rarest ones to
+    linked members if it failed, else to failed ones; ``size(d) + close`` of these to failed ones
+    (``close``), which is fewer as two failed members must share more.
     """
-    elements = left.select("key", "id", "failed", "spare", F.explode("d").alias("e"))
+    elements = left.select("key", "id", "failed", "close", "wide", F.explode("d").alias("e"))
     several = elements.groupBy("key", "e").agg(F.count("*").alias("held")).where("held > 1")
     by_rarity = F.array_sort(F.collect_list(F.struct("held", "e")))["e"].alias("shared")
-    ranked = elements.join(several, ["key", "e"]).groupBy("key", "id").agg(by_rarity, F.first("failed").alias("failed"), F.first("spare").alias("spare"))
-    ranked = ranked.withColumn("shown", (F.size("shared") + F.col("spare")).cast("int")).where("shown > 0")  # those that only one has come first
-    shown = checkpointed(ranked.select("key", "id", "failed", F.explode(F.slice("shared", F.lit(1), F.col("shown"))).alias("e")))
-    per = shown.groupBy("key", "e").agg(F.count("*").alias("all"), F.count_if("failed").alias("failures")).where("all > 1 and failures > 0")
-    return shown.join(per, ["key", "e"])
+    ranked = elements.join(several, ["key", "e"]).groupBy("key", "id").agg(by_rarity, *[F.first(c).alias(c) for c in ("failed", "close", "wide")])
+    ranked = ranked.withColumn("shown", (F.size("shared") + F.col("wide")).cast("int")).where("shown > 0")  # those that only one has come first
+    return ranked.select("key", "id", "failed", (F.size("shared") + F.col("close")).alias("of_close"), F.posexplode(F.slice("shared", F.lit(1), F.col("shown"))).alias("place", "e")).select(
+        "key", "e", "id", "failed", (F.col("place") < F.col("of_close")).alias("close")
+    )
 
 
 def compared(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
@@ -230,21 +232,32 @@ def compared(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame
     near_rep = linked(F.col("slack"), F.col("rep.slack"), F.col("d"), F.col("rep.d"))
     seen = checkpointed(rows.join(best, "key").where("id != rep.id").select("key", "id", "n", "d", "slack", F.col("rep.id").alias("rep"), (~near_rep).alias("failed")))
     found = [seen.where("not failed").select("rep", F.col("id").alias("member"))]
-    limits = seen.groupBy("key").agg(F.max("slack").alias("any"), F.max(F.when(F.col("failed"), F.col("slack"))).alias("of_failed")).where("of_failed is not null")
-    need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.when(F.col("failed"), F.col("any")).otherwise(F.col("of_failed"))) / (2 * far)))
-    left = seen.join(limits, "key").select("key", "id", "n", "d", "slack", "failed", (1 - need).alias("spare"))
-    left = checkpointed(left.where(F.size("d") + F.col("spare") > 0))
+    limits = seen.groupBy("key").agg(F.max(F.when(F.col("failed"), F.col("slack"))).alias("of_failed"), F.max(F.when(~F.col("failed"), F.col("slack"))).alias("of_linked")).where("of_failed is not null")
+    spare = lambda other: 1 - F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / (2 * far)))
+    close = spare(F.col("of_failed"))
+    wide = F.when(F.col("failed") & F.col("of_linked").isNotNull(), spare(F.col("of_linked"))).otherwise(close)
+    left = seen.join(limits, "key").select("key", "id", "n", "d", "slack", "failed", close.alias("close"), wide.alias("wide"))
+    left = checkpointed(left.where(F.size("d") + F.greatest("close", "wide") > 0))
     if left.isEmpty():
         return found, None
-    shown = checkpointed(rarest_shared(left))
-    few = shown.where(F.col("failures") <= SMALL)
-    failing = few.where("failed").groupBy("key", "e").agg(F.collect_list("id").alias("others"))
-    pairs = few.join(failing, ["key", "e"]).select("key", "id", F.explode("others").alias("other")).where("id != other")
+    shown = checkpointed(rarest_shared(left.withColumn("wide", F.greatest("close", "wide"))))
+    per = shown.groupBy("key", "e").agg(F.count_if(~F.col("failed")).alias("joined"), F.count_if("failed").alias("failures"), F.count_if(F.col("failed") & F.col("close")).alias("closer"))
+    shown = checkpointed(shown.join(per.where("joined > 0 and failures > 0 or closer > 1"), ["key", "e"]))
+    # failed with linked members: each of the few with all of the others
+    across = shown.where("joined > 0 and failures > 0").withColumn("few", F.col("failed") == (F.col("failures") <= F.col("joined")))
+    few_across = across.where(F.least("joined", "failures") <= SMALL)
+    one = few_across.where("not few").join(few_across.where("few").groupBy("key", "e").agg(F.collect_list("id").alias("others")), ["key", "e"])
+    # failed members among each other
+    among = shown.where("failed and close and closer > 1")
+    few_among = among.where(F.col("closer") <= 2 * SMALL)
+    two = few_among.join(few_among.groupBy("key", "e").agg(F.collect_list("id").alias("others")), ["key", "e"]).withColumn("others", F.filter("others", lambda x: x > F.col("id")))
+    pairs = one.select("key", "id", "others").unionByName(two.select("key", "id", "others")).select("key", "id", F.explode("others").alias("other"))
     pairs = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("key").alias("key"))
     side = lambda c: left.select("key", F.col("id").alias(c), F.col("slack").alias(f"slack_{c}"), F.col("d").alias(f"d_{c}"))
     both = pairs.join(side("a"), ["key", "a"]).join(side("b"), ["key", "b"])
     found.append(checkpointed(both.where(linked(F.col("slack_a"), F.col("slack_b"), F.col("d_a"), F.col("d_b"))).select(F.col("a").alias("rep"), F.col("b").alias("member"))))
-    many = shown.where(F.col("failures") > SMALL).select(F.xxhash64("key", "e").alias("next"), "key", "id")
+    many = across.where(F.least("joined", "failures") > SMALL).select(F.xxhash64("key", "e", F.lit(0)).alias("next"), "key", "id")
+    many = many.unionByName(among.where(F.col("closer") > 2 * SMALL).select(F.xxhash64("key", "e", F.lit(1)).alias("next"), "key", "id"))
     many = checkpointed(many.join(left.select("key", "id", "n", "d"), ["key", "id"]).select(F.col("next").alias("key"), "id", "n", "d"))
     return found, None if many.isEmpty() else many
 

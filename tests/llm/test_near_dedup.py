@@ -116,13 +116,11 @@ def test_unlinked_copies_of_one_template_make_few_candidates(spark):
     for _ in range(n):  # too many words replaced for any two to be linked, by words of their own
         gone = set(rng.sample(template, rng.randint(25, 50)))
         sets.append([x for x in template if x not in gone] + [next(fresh) for _ in gone])
-    rows = [(1, i, 150, sorted(set(s) ^ set(template)), i > 0, 0) for i, s in enumerate(sets)]
-    left = spark.createDataFrame(rows, "key long, id long, n long, d array<long>, failed boolean, spare int").repartition(8)
-    far, near = 185, 15
-    slack = near * 150 - far * near_dedup.F.size("d")
-    left = left.withColumn("spare", 1 - near_dedup.F.greatest(near_dedup.F.lit(1), near_dedup.F.ceil(-2 * slack / (2 * far))))
-    assert near_dedup.rarest_shared(left.withColumn("failed", near_dedup.F.lit(True))).count() < 2 * n
-    rows = left.select("key", "id", "n", "d")
+    rows = spark.createDataFrame([(1, i, 150, sorted(set(s) ^ set(template))) for i, s in enumerate(sets)], near_dedup.DIFFERING).repartition(8)
+    slack = 15 * 150 - 185 * near_dedup.F.size("d")
+    need = near_dedup.F.greatest(near_dedup.F.lit(1), near_dedup.F.ceil(-(slack + 15 * 150 - 185 * 50) / (2 * 185)))
+    left = rows.withColumns({"failed": near_dedup.F.lit(True), "close": 1 - need, "wide": 1 - need})
+    assert near_dedup.rarest_shared(left).count() < 2 * n
     found, _ = all_rounds(rows, 85)
     assert not found
 
