@@ -35,3 +35,14 @@ def test_language_stage_keeps_documents_without_labels(spark):
     only_held_out = spark.createDataFrame([(k, "the thing", "en") for k in range(40)] + [(40, None, "en"), (41, "12 !!", "en")], "doc_id long, text string, lang string").where(held_out(F.col("doc_id")) | (F.col("doc_id") >= 40))
     only_held_out = only_held_out.withColumn("lang", F.when(held_out(F.col("doc_id")), F.col("lang")))
     assert sorted(r.doc_id for r in corpus_pipeline.identify(spark, only_held_out, SF).collect()) == sorted(r.doc_id for r in only_held_out.collect() if r.doc_id < 40) != []
+
+
+def test_odd_tables(spark, tmp_path):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, base, "en"), (2, base.replace(" ", "  "), "en"), (3, None, "en"), (4, "", None), (5, "12 !!", "de"), (5, "12 !!", "de"), (6, "mail a@b.co now", None), (7, "x" * 90_000, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").selectExpr("*", "1 as key", "2 as row", "3 as pii_base", "'n' as norm")
+    for name, some in (("odd", docs), ("empty", docs.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r.doc_id for r in packed} == {2, 6, 7}  # of equal texts the longest stays; texts without a letter go
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
