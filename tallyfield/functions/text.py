@@ -30,13 +30,13 @@ def _undoubled(text: Column) -> Column:
 
 
 def is_ranked(text: Column) -> Column:
-    """True for ``No. 7 Name`` and ``#5 Name``."""
-    return F.coalesce(_undoubled(text).rlike(r"(?i)^(?:No\. ?|#)\d+ "), F.lit(False))
+    """True for ``No. 7 Name``, ``No 7 Name``, ``#5 Name`` and ``# 5 Name``."""
+    return F.coalesce(_undoubled(text).rlike(r"(?i)^(?:No\.?|#) ?\d+ "), F.lit(False))
 
 
 def clean_team_name(text: Column) -> Column:
     """One space between words, no exact doubling, no rank, no asterisks."""
-    unranked = F.regexp_replace(_undoubled(text), r"(?i)^(?:No\. ?|#)\d+ +", "")
+    unranked = F.regexp_replace(_undoubled(text), r"(?i)^(?:No\.?|#) ?\d+ +", "")
     return collapsed(F.regexp_replace(unranked, r"\*+", " "))
 
 
@@ -89,8 +89,8 @@ def team_before_dash(caption: Column) -> Column:
 
 
 def initials(text: Column) -> Column:
-    """Lower-case first letters; words of up to three letters count whole."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9 ]", "")), " "), lambda w: w != "")
+    """Lower-case first letters; words of up to three letters count whole. Anything but a letter or digit parts words."""
+    words = F.filter(F.transform(F.split(text, "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.when(F.length(w) <= 3, w).otherwise(F.substring(w, 1, 1))), "")
 
 

@@ -183,7 +183,7 @@ def linked_data(page: Node) -> Iterator[dict]:
             if "SportsEvent" in (kind if isinstance(kind, list) else [kind]) and date:
                 title = re.search(r"(?i)^(.*?)\s+(vs\.?|at)\s+(.*)$", str(event.get("name", "")))
                 home, away = said_name(event.get("homeTeam")), said_name(event.get("awayTeam"))
-                if title and not (home and away):
+                if title:  # a matchup in the title says more than the teams
                     home, away = (title[1], title[3]) if title[2].lower().startswith("vs") else (title[3], title[1])
                 yield {"date_text": str(date).split("T")[0], "home": home, "away": away, "side": "both", "box": str(event.get("url") or "")}
 

@@ -11,15 +11,18 @@ L = F.lit
 def cases():
     base = L("https://h.example/s/a")
     return [
-        (text.clean_team_name(L("No. 7 Stanford")), "Stanford"),
-        (text.clean_team_name(L("UC Davis  UC Davis")), "UC Davis"),
-        (text.clean_team_name(L("Clemson * *")), "Clemson"),
+        (text.clean_team_name(L("No. 7 Velmora")), "Velmora"),
+        (text.clean_team_name(L("Port Aster  Port Aster")), "Port Aster"),
+        (text.clean_team_name(L("Harrow * *")), "Harrow"),
         (text.is_ranked(L("#5 Duke")), True),
+        *((f(L(x)), y) for x in ("No 7 Velmora", "# 5 Velmora", "no.12 Velmora", "#5  Velmora") for f, y in ((text.is_ranked, True), (text.clean_team_name, "Velmora"))),
+        (text.is_ranked(L("No 7")), False),
+        (text.initials(L("Harbor-Vale St. Ann's")), "hvstanns"),
         (text.is_ranked(L("Duke")), False),
         (text.clean_player_name(L("#12 Ann  Lee ")), "Ann Lee"),
         (text.dedupe_key(L("2025-08-24"), L("UNC"), L("NC State")), "2025-08-24-NC-State-UNC"),
         (text.encoded_key(L("a:b")), "YTpi"),
-        (text.player_key(L("SMU"), L("Sparks, Bailey")), "smu:sparksbailey"),
+        (text.player_key(L("SMU"), L("Núñez, Orla")), "smu:nezorla"),
         (text.team_before_dash(L("Team A - Box")), "Team A"),
         (text.team_before_dash(L(" - Box")), "Unknown"),
         (text.names_likely_match(L("Virginia"), L("Virginia Tech")), True),

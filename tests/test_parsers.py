@@ -6,19 +6,20 @@ from pyspark.sql import functions as F
 
 from tallyfield.parsers import box, schedule
 
-CARD = """<div class="s-game-card"><div class="s-game-card__header__team"><span class="s-text-paragraph-bold">No. 7 Stanford</span></div>
+CARD = """<div class="s-game-card"><div class="s-game-card__header__team"><span class="s-text-paragraph-bold">No. 7 Velmora</span></div>
 <div data-test-id="s-game-card-standard__header-game-date-details"><span>Aug 10</span></div><span class="s-stamp__text">at</span>
 <div class="c-scoreboard__scores">W 2-1</div><a href="/boxscore/11">Box Score</a></div>"""
 ITEM = """<li class="sidearm-schedule-game sidearm-schedule-home-game"><div class="sidearm-schedule-game-opponent-date"><span>Aug 21 (Thu)</span></div>
-<div class="sidearm-schedule-game-opponent-name">UC Davis</div><div class="sidearm-schedule-game-result">Postponed</div></li>"""
-TABLE = """<table><thead><tr><th>Date</th><th>Opponent</th><th>Result</th></tr></thead><tbody><tr><td>9/1/25</td><td>at Clemson</td><td>L 0-3</td></tr></tbody></table>"""
+<div class="sidearm-schedule-game-opponent-name">Port Aster</div><div class="sidearm-schedule-game-result">Postponed</div></li>"""
+TABLE = """<table><thead><tr><th>Date</th><th>Opponent</th><th>Result</th></tr></thead><tbody><tr><td>9/1/25</td><td>at Harrow</td><td>L 0-3</td></tr></tbody></table>"""
 BOARD = """<div class="c-scoreboard__item c-scoreboard__item--home"><div class="c-scoreboard__logo"><img alt="Pitt"></div><div class="c-scoreboard__date"><span>Oct 3</span></div></div>"""
 LINKED = '<script type="application/ld+json">{"@graph": [{"@type": "SportsEvent", "startDate": "2025-11-02T19:00", "name": "SMU vs Cal"}]}</script><script type="application/ld+json">{bad</script>'
 PAYLOAD = '<script id="__NUXT_DATA__">' + json.dumps([{"schedule": 1}, {"schedules": 2}, {"x": 3}, {"games": 4}, [5], {"date": 6, "opponent": 7, "location_indicator": 8, "result": 9}, "2025-09-09T00:00", {"name": 10}, "A", {"team_score": 11, "opponent_score": 12}, "Yale", "4", "2"]) + "</script>"
 PLATFORM = json.dumps([{"id": 9, "date": "2025-08-24T22:00:00-05:00", "type": "g", "status": "O", "location_indicator": "A", "opponent": {"name": "#5 Duke"}, "result": {"status": "W", "team_score": "3", "opponent_score": "1", "boxscore": "/b/9"}, "schedule": {"url": "https://s.example/x"}}])
-CLASSIC = """<table class="sidearm-table overall-stats"><caption>SMU - Box</caption><tbody>
-<tr><td>F</td><td>10</td><td>#10 Sparks, Bailey</td><td>5</td><td>1</td><td>1</td><td>0</td><td>79:30</td></tr>
-<tr><td>D</td><td>20</td><td>Other, Player</td><td>0</td><td>0</td><td>0</td><td>0</td><td>45</td></tr><tr><td>short</td></tr></tbody></table>"""
+CLASSIC = """<table class="sidearm-table overall-stats"><caption>Velmora - Players</caption><tbody>
+<tr><td>M</td><td>7</td><td>#7 Núñez, Orla</td><td>4</td><td>3</td><td>2</td><td>1</td><td>61:15</td></tr><tr><td>none</td></tr></tbody></table>
+<table class="sidearm-table overall-stats"><caption>Harrow Bay - Players</caption><tbody>
+<tr><td>G</td><td>31</td><td>Quist, Tamsin</td><td>0</td><td>0</td><td>0</td><td>0</td><td>90</td></tr></tbody></table>"""
 ADVANCED = """<table class="advanced-table__table"><thead><tr><th>Alpha - Field</th></tr></thead><tbody><tr><td>F</td><td>9</td><td>Ann Lee</td><td>3</td><td>2</td><td>1</td><td>0</td><td>79:30</td></tr></tbody></table>
 <table class="advanced-table__table"><thead><tr><th>Alpha - Goal</th></tr></thead><tbody><tr><td>GK</td><td>1</td><td>Kay Roe</td><td>90:00</td><td>0</td><td>4</td></tr></tbody></table>"""
 
@@ -29,9 +30,9 @@ def test_schedule_layouts(spark):
     got = {(r.page_id, r.layout): r for r in schedule.parse_schedules(raw).collect()}
     brief = {k: (r.date, r.home_team_name, r.away_team_name, r.home_score, r.away_score, r.location_type, r.status) for k, r in got.items()}
     assert brief == {
-        (0, "cards"): ("2025-08-10", "Stanford", "SMU", 1, 2, "away", "final"),
-        (0, "list"): ("2025-08-21", "SMU", "UC Davis", None, None, "home", "postponed"),
-        (0, "table"): ("2025-09-01", "Clemson", "SMU", 3, 0, "away", "final"),
+        (0, "cards"): ("2025-08-10", "Velmora", "SMU", 1, 2, "away", "final"),
+        (0, "list"): ("2025-08-21", "SMU", "Port Aster", None, None, "home", "postponed"),
+        (0, "table"): ("2025-09-01", "Harrow", "SMU", 3, 0, "away", "final"),
         (0, "scoreboard"): ("2025-10-03", "SMU", "Pitt", None, None, "home", "scheduled"),
         (0, "linked"): ("2025-11-02", "SMU", "Cal", None, None, "home", "scheduled"),
         (1, "payload"): ("2025-09-09", "Yale", "SMU", 2, 4, "away", "final"),
@@ -47,7 +48,7 @@ def row_of(*cells, attrs=""):
 
 HEADS = row_of("<th>Date</th>", "<th>Time</th>", "<th>Opponent</th>", "<th>Result</th>")
 TABLES = {  # a page, and its games: date, home, away, scores, status
-    "th for the date": (f"<table><thead>{HEADS}</thead><tbody>" + row_of("<th>Aug 21</th>", "7 PM", "at Clemson", "L 0-3") + "</tbody></table>", [("2025-08-21", "Clemson", "SMU", 3, 0, "final")]),
+    "th for the date": (f"<table><thead>{HEADS}</thead><tbody>" + row_of("<th>Aug 21</th>", "7 PM", "at Harrow", "L 0-3") + "</tbody></table>", [("2025-08-21", "Harrow", "SMU", 3, 0, "final")]),
     "teams": ("<table><thead>" + HEADS.replace("Opponent", "Teams").replace("Result", "Time/Results") + "</thead>" + row_of("9/1", "7 PM", "vs Cal", "Postponed") + "</table>", [("2025-09-01", "SMU", "Cal", None, None, "postponed")]),
     "two columns": ("<table><thead><tr><th>Date</th><th>Opponent</th></tr></thead>" + row_of("9/2", "Yale") + "</table>", [("2025-09-02", "SMU", "Yale", None, None, "scheduled")]),
     "header row of td": ("<table>" + HEADS.replace("th>", "td>") + row_of("9/3", "7 PM", "Pitt", "W 2-1") + row_of("9/4", "8 PM", "Duke", "") + "</table>", [("2025-09-03", "SMU", "Pitt", 2, 1, "final"), ("2025-09-04", "SMU", "Duke", None, None, "scheduled")]),
@@ -56,8 +57,8 @@ TABLES = {  # a page, and its games: date, home, away, scores, status
     "date attributes": (f"<table><thead>{HEADS}</thead>" + row_of('<td data-date="TBA">Fri</td>', "", "Navy", "", attrs='data-game-date="9/8/2025"') + row_of("<td data-datetime='2025-09-09T19:00'>Sat</td>", "", "Army", "") + "</table>", [("2025-09-08", "SMU", "Navy", None, None, "scheduled"), ("2025-09-09", "SMU", "Army", None, None, "scheduled")]),
     "ISO in HTML": (f"<table><thead>{HEADS}</thead>" + row_of("Sun", "<td><time datetime='2025-09-10T19:00'>7 PM</time></td>", "Rice", "") + "</table>", [("2025-09-10", "SMU", "Rice", None, None, "scheduled")]),
     "year in the date": (f"<table><thead>{HEADS}</thead>" + row_of("2024: Sep 11", "", "Iowa", "") + "</table>", [("2024-09-11", "SMU", "Iowa", None, None, "scheduled")]),
-    "ISO date is no score": ("<table>" + row_of("2025-09-12", "Stanford", "TBA") + "</table>", [("2025-09-12", "SMU", "Stanford", None, None, "scheduled")]),
-    "line score": ("<table><thead><tr><th>Team</th><th>Period</th><th>F</th></tr></thead>" + row_of("Clemson", "1 2 3", "2") + "</table>", []),
+    "ISO date is no score": ("<table>" + row_of("2025-09-12", "Velmora", "TBA") + "</table>", [("2025-09-12", "SMU", "Velmora", None, None, "scheduled")]),
+    "line score": ("<table><thead><tr><th>Team</th><th>Period</th><th>F</th></tr></thead>" + row_of("Harrow", "1 2 3", "2") + "</table>", []),
 }
 
 
@@ -74,8 +75,8 @@ def test_box_layouts(spark):
     raw = spark.createDataFrame([(f"g{i}", b) for i, b in enumerate(bodies)], "game_id string, body string")
     got = {(r.game_id, r.player_key): (r.minutes, r.goals, r.shots, r.saves) for r in box.parse_boxes(raw).collect()}
     assert got == {
-        ("g0", "smu:sparksbailey"): (79.0, 1, 5, 0),
-        ("g0", "smu:otherplayer"): (45.0, 0, 0, 0),
+        ("g0", "velmora:nezorla"): (61.0, 2, 4, 0),
+        ("g0", "harrowbay:quisttamsin"): (90.0, 0, 0, 0),
         ("g1", "alpha:annlee"): (79.5, 1, 3, 0),
         ("g1", "alpha:kayroe"): (90.0, 0, 0, 4),
         ("g2", "beta:boday"): (88.0, 2, 2, 0),
