@@ -89,8 +89,8 @@ def team_before_dash(caption: Column) -> Column:
 
 
 def initials(text: Column) -> Column:
-    """Lower-case first letters; words of up to three letters count whole. Anything but a letter or digit parts words."""
-    words = F.filter(F.transform(F.split(text, "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
+    """Lower-case first letters; words of up to three letters count whole. All but letters, digits and underscores part words."""
+    words = F.filter(F.transform(F.split(F.replace(text, F.lit("_"), F.lit("")), "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.when(F.length(w) <= 3, w).otherwise(F.substring(w, 1, 1))), "")
 
 
