@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import held_out, named
 
 DIMS, BITS, PER_LANG, FULL_LANGS, REJECT_UNDER = 4096, 15, 400, 16, 0.02
+#: Texts whose features a task holds at a time.
+ROWS = 128
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 #: Multipliers that spread code points over the n-gram buckets.
 ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -115,9 +117,11 @@ def fit(features: np.ndarray, labels: list[str], bits: int = BITS, steps: int =
 
 
 def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        f = ngram_frequencies(batch.column("text").to_pylist()).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in f], pa.binary())], ["lang", "features"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            f = ngram_frequencies(batch.column("text").to_pylist()).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in f], pa.binary())], ["lang", "features"])
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -147,9 +151,8 @@ def predict_languages(docs: DataFrame, model: Model | None, ambiguous_under: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             rows: list[tuple[str, float, bool]] = []
-            for some in (texts[i : i + 512] for i in range(0, len(texts), 512)):
+            for some in (batch.column("text").slice(i, ROWS).to_pylist() for i in range(0, batch.num_rows, ROWS)):
                 if model is None:
                     rows += [("und", 0.0, False)] * len(some)
                     continue
@@ -176,14 +179,13 @@ def keep_identified(docs: DataFrame, model: Model | None, reject_under: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            texts = batch.column(names.index(text_col)).to_pylist()
-            for at in range(0, len(texts), 512):
-                some = texts[at : at + 512]
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.column(names.index(text_col)).slice(at, ROWS).to_pylist()
                 apart = np.ones(len(some))
                 if model is not None and len(model.languages) > 1:
                     _, top, second = model.decode(ngram_frequencies(some))
                     apart = top - second
-                keep[at : at + 512] = [t is not None and any(map(str.isalpha, t)) and gap >= reject_under for t, gap in zip(some, apart, strict=True)]
+                keep[at : at + ROWS] = [t is not None and any(map(str.isalpha, t)) and gap >= reject_under for t, gap in zip(some, apart, strict=True)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,17 +33,19 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def cut_pieces(path: str, width: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            rows: list[tuple] = []
-            for some in tokens.slices(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), 256):
-                for (doc, _), ids in zip(some, tokens.text_ids(path, [t for _, t in some]), strict=True):
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                rows: list[tuple] = []
+                for doc, ids in zip(batch.column(0).to_pylist(), tokens.text_ids(path, batch.column(1).to_pylist()), strict=True):
                     ids += last
                     for at in range(0, len(ids), 4 * width):
                         piece = ids[at : at + 4 * width]
                         rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, *([np.frombuffer(piece, "<i4")] if with_ids else [])))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * (6 if with_ids else 5)
-            arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(list(c), pa.list_(pa.int32())) for c in columns[5:]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
+                columns = list(zip(*rows, strict=True))
+                arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(list(c), pa.list_(pa.int32())) for c in columns[5:]]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
+        tokens.forget()
 
     return run
 

@@ -112,6 +112,12 @@ def quick_words(path: str) -> QuickBytes | QuickLetters | None:
     return None
 
 
+@functools.cache
+def encoders(path: str) -> tuple:
+    """The tokenizer and what is faster for plain words, once for a worker process."""
+    return load(path), quick_words(path)
+
+
 class ChunkCache:
     """Every chunk as little-endian 32-bit ids, computed once; ``prefix`` is put before each chunk.
 
@@ -121,7 +127,8 @@ class ChunkCache:
     """
 
     def __init__(self, path: str, prefix: str = "", limit: int = 144 << 20):
-        self.tokenizer, self.quick, self.prefix, self.limit = load(path), quick_words(path), prefix, limit
+        self.prefix, self.limit = prefix, limit
+        self.tokenizer, self.quick = encoders(path)
         self.held: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.bytes = 0
@@ -162,14 +169,19 @@ def _chunk_cache(path: str, prefix: str) -> ChunkCache:
 
 
 def chunk_cache(path: str, prefix: str = "") -> ChunkCache:
-    """One cache of each kind for a worker process."""
+    """One cache of each kind for a worker process, until it is told to ``forget``."""
     return _chunk_cache(path, prefix)
 
 
+def forget() -> None:
+    """Drop all chunks: a worker outlives its task, and other work would have less memory beside them."""
+    _chunk_cache.cache_clear()
+
+
 @functools.cache
 def ahead(path: str) -> str | None:
     """What the first character of each later chunk is; None where texts can't be cut into chunks."""
-    words = quick_words(path)
+    words = encoders(path)[1]
     return " " if isinstance(words, QuickBytes) else "" if words else None
 
 
