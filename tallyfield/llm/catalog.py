@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, substring_dedup, suffix_dedup, toxicity, whitening
+from . import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, runs, substring_dedup, suffix_dedup, toxicity, whitening
 from .common import documents
 
 
@@ -57,6 +57,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
