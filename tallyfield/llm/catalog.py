@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, media, near_dedup, packing, pii, runs, substring_dedup, suffix_dedup, toxicity, whitening
+from . import bpe, exact_dedup, html_text, language_id, media, near_dedup, packing, pii, runs, substring_dedup, suffix_dedup, toxicity, whitening
 from .common import documents
 
 
@@ -61,6 +61,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(documents(spark, sf_dir))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLES: dict[str, str] = {
