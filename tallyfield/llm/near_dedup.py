@@ -11,11 +11,14 @@ medoid of several, and never turned into all their pairs. Of such a bucket a cen
 shingles that most of a few members hold, and each member is kept as what it differs in from
 the centre: two members differ in just what these differences differ in, so all that
 follows is exact without their texts. The member with the most slack (it is allowed more
-differences than it has) is compared with all others. A member that isn't linked to it can be
-linked to another only if both share a number of differences that their sizes tell, hence one of
-their rarest. Where few such members share one, they are compared with all that have it too;
-where many do, these form a bucket of their own in the next round, without the member that all
-were compared with, until no bucket is left. Nothing is capped.
+differences than it has) is compared with all others, and all links found so far are made into
+components: only members of different components are compared further. Buckets of up to
+``BLOCKED`` members are then compared whole, in pairs of blocks of ``SIDE`` members, so that a member is
+copied once a block. In larger ones two members can be linked only if both share a number of
+differences that their sizes tell, hence one of their rarest. Those that share one make a bucket
+again, once for each set of members: small ones are compared by pairs, larger ones in blocks, and
+those beyond ``BLOCKED`` go through the next round. If these buckets would hold more rows than the blocks
+of the one they come from, that one is compared in blocks. Nothing is capped.
 
 Sets are kept as 64-bit hashes of shingles, so links are exact up to their collisions.
 
@@ -41,8 +44,11 @@ from .common import checkpointed, id_and_text, named
 from .superkmers import Words, grams, mixed
 
 SMALL, DRAWN, BLOCK = 4, 24, 1 << 16
+#: Members of a bucket that is compared in blocks at once, members of a block and elements of its differences.
+BLOCKED, SIDE, WEIGHT = 2048, 256, 1 << 18
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 VERIFIED = "rep long, member long, n_rep long, n_member long, n_both long"
+LINKS = "rep long, member long"
 DIFFERING = "key long, id long, n long, d array<long>"
 
 
@@ -191,16 +197,19 @@ def recentred(rows: DataFrame) -> DataFrame:
     return rows.join(centres, "key", "left").select("key", "id", "n", new.alias("d"))
 
 
-def buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs (rep, member) of small buckets in (key, id); (key, id, n) of large ones, merged by medoid."""
+def buckets(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs (rep, member) of small buckets in (key, id); (key, id, n) of large ones, merged by medoid, if there are any."""
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     pairs = few.select(F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("rep"), b.alias("member")))))).alias("p"))
+    pairs = pairs.select("p.rep", "p.member").distinct()
     large = members.where(F.col("n") > SMALL)
+    if large.isEmpty():
+        return pairs, None
     medoids = large.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("medoid"))
     merged = checkpointed(large.join(medoids, "key").select(F.col("medoid").alias("key"), "id").distinct())
     sizes = merged.groupBy("key").agg(F.count("*").alias("n"))
-    return pairs.select("p.rep", "p.member").distinct(), merged.join(sizes, "key")
+    return pairs, merged.join(sizes, "key")
 
 
 def rarest_shared(left: DataFrame) -> DataFrame:
@@ -220,12 +229,85 @@ def rarest_shared(left: DataFrame) -> DataFrame:
     )
 
 
-def compared(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Links found in buckets of (key, id, n, d), and the rows of the next round.
+def spanning(m: int, links: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Of links (two columns of row numbers) as many as connect what they connect, but for what is connected already."""
+    pairs = component[links]
+    pairs.sort(axis=1)
+    firsts = np.unique(pairs, axis=0, return_index=True)[1]
+    label: dict[int, int] = {}
+    out = []
+    for a, b in links[firsts].tolist():
+        x, y = int(component[a]), int(component[b])
+        while (z := label.get(x, x)) != x:
+            x = z
+        while (z := label.get(y, y)) != y:
+            y = z
+        if x != y:
+            label[x] = y
+            out.append((a, b))
+    return out
+
+
+def compare_block(table: pa.Table, far: int) -> pa.Table:
+    """Links that connect members of one pair of blocks: id, component, slack, d."""
+    ids, component, slack = (table.column(c).to_numpy() for c in ("id", "component", "slack"))
+    lists, m = table.column("d").combine_chunks(), table.num_rows
+    value = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(m), lists.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    shared = np.zeros(m * m, np.int64)
+    for apart in range(1, m):  # members that share a value stand next to each other, in order
+        same = value[apart:] == value[:-apart]
+        if not same.any():
+            break
+        shared += np.bincount(row[:-apart][same] * m + row[apart:][same], minlength=m * m)
+    shared = shared.reshape(m, m)
+    linked = (slack[:, None] + slack + 2 * far * (shared + shared.T) >= 0) & (component[:, None] != component)
+    found = spanning(m, np.argwhere(np.triu(linked, 1)), component)
+    a, b = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return pa.table({"rep": ids[a], "member": ids[b]})
+
+
+def by_component(rows: DataFrame) -> DataFrame:
+    """Of each bucket of (key, id, component, d): its members, those of its largest component, and the elements of both."""
+    of = rows.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum(F.size("d")).alias("w"))
+    largest = F.max_by(F.struct("component", "c", "w"), F.struct("c", "component")).alias("largest")
+    return of.groupBy("key").agg(F.sum("c").alias("m"), F.sum("w").alias("weight"), largest)
+
+
+def blocks_of(many: Column, weight: Column) -> Column:
+    return F.ceil(F.greatest(many / SIDE, weight / WEIGHT)).cast("int")
+
+
+def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (rep, member) that connect different components of a bucket: (key, id, slack, component, d).
+
+    Each member outside of the bucket's largest component meets every other one, in blocks of about
+    ``SIDE`` members, so a member is copied once for each such block, not for each partner.
+    """
+    rows = rows.select("key", "id", "slack", "component", "d")
+    rows = rows.join(by_component(rows), "key").where("largest.c < m")
+    one = (F.col("m") <= SIDE) & (F.col("weight") <= WEIGHT)
+    other = one | (F.col("component") != F.col("largest.component"))
+    few = F.when(one, 1).otherwise(blocks_of(F.col("m") - F.col("largest.c"), F.col("weight") - F.col("largest.w")))
+    rest = F.when(one, 0).otherwise(blocks_of(F.col("largest.c"), F.col("largest.w")))
+    rows = rows.select("key", "id", "slack", "component", "d", other.alias("other"), few.alias("few"), rest.alias("rest"))
+    own = F.when(F.col("other"), F.pmod(F.xxhash64("id"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("id"), F.greatest("rest", F.lit(1)))).cast("int")
+    met = F.sequence(F.lit(0), F.when(F.col("other"), F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1))
+    placed = rows.withColumn("own", own).withColumn("met", F.explode(met))
+    placed = placed.select("key", F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b"), "id", "slack", "component", "d")
+    far = 100 + percent
+    return placed.groupBy("key", "a", "b").applyInArrow(lambda table: compare_block(table, far), LINKS)
+
+
+def compared(rows: DataFrame, percent: int, known: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links found in buckets of (key, id, n, d), and the rows of the next round; ``known``: links found before.
 
     Sets of n1 and n2 shingles that differ from the centre in d1 and d2, c of them shared, are linked if
     slack1 + slack2 + 2 * (100 + p) * c >= 0, where slack = (100 - p) * n - (100 + p) * d. So c must
     reach a number that the slacks tell, and one of the rarest d1 - c + 1 differences must be shared.
+    Members that links found so far connect are of one component and aren't compared again.
     """
     far, near = 100 + percent, 100 - percent
     linked = lambda a, b, x, y: a + b + 2 * far * F.size(F.array_intersect(x, y)) >= 0
@@ -238,37 +320,46 @@ def compared(rows: DataFrame, percent: int) -> tuple[list[DataFrame], DataFrame
     spare = lambda other: 1 - F.greatest(F.lit(1), F.ceil(-(F.col("slack") + other) / (2 * far)))
     close = spare(F.col("of_failed"))
     wide = F.when(F.col("failed") & F.col("of_linked").isNotNull(), spare(F.col("of_linked"))).otherwise(close)
-    left = seen.join(limits, "key").select("key", "id", "n", "d", "slack", "failed", close.alias("close"), wide.alias("wide"))
-    left = checkpointed(left.where(F.size("d") + F.greatest("close", "wide") > 0))
+    left = seen.join(limits, "key").select("key", "id", "n", "d", "slack", "failed", close.alias("close"), F.greatest(close, wide).alias("wide"))
+    left = left.where(F.size("d") + F.col("wide") > 0)
     if left.isEmpty():
         return found, None
-    shown = checkpointed(rarest_shared(left.withColumn("wide", F.greatest("close", "wide"))))
-    per = shown.groupBy("key", "e").agg(F.count_if(~F.col("failed")).alias("joined"), F.count_if("failed").alias("failures"), F.count_if(F.col("failed") & F.col("close")).alias("closer"))
-    shown = checkpointed(shown.join(per.where("joined > 0 and failures > 0 or closer > 1"), ["key", "e"]))
-    # failed with linked members: each of the few with all of the others
-    across = shown.where("joined > 0 and failures > 0").withColumn("few", F.col("failed") == (F.col("failures") <= F.col("joined")))
-    few_across = across.where(F.least("joined", "failures") <= SMALL)
-    one = few_across.where("not few").join(few_across.where("few").groupBy("key", "e").agg(F.collect_list("id").alias("others")), ["key", "e"])
-    # failed members among each other
-    among = shown.where("failed and close and closer > 1")
-    few_among = among.where(F.col("closer") <= 2 * SMALL)
-    two = few_among.join(few_among.groupBy("key", "e").agg(F.collect_list("id").alias("others")), ["key", "e"]).withColumn("others", F.filter("others", lambda x: x > F.col("id")))
-    pairs = one.select("key", "id", "others").unionByName(two.select("key", "id", "others")).select("key", "id", F.explode("others").alias("other"))
-    pairs = pairs.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("key").alias("key"))
-    side = lambda c: left.select("key", F.col("id").alias(c), F.col("slack").alias(f"slack_{c}"), F.col("d").alias(f"d_{c}"))
+    label = components(reduce(DataFrame.unionByName, found if known is None else [known, *found]))
+    left = left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left = checkpointed(left.join(by_component(left).where("largest.c < m"), "key"))
+    found.append(checkpointed(in_blocks(left.where(F.col("m") <= BLOCKED), percent)))
+    large = left.where(F.col("m") > BLOCKED)
+    if large.isEmpty():
+        return found, None
+    shown = rarest_shared(large).join(large.select("key", "id", "component"), ["key", "id"])
+    # one bucket for each set of members that show an element, if it has different components
+    alike = shown.groupBy("key", "e").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    alike = alike.where("low < high").groupBy("held", "x", "y").agg(F.min(F.struct("key", "e")).alias("at")).select("at.*", "held", F.xxhash64("held", "x", "y").alias("next"))
+    shown = checkpointed(shown.join(alike, ["key", "e"]).select("key", "id", "component", "held", "next"))
+    # where these would hold more rows than the bucket in blocks, take the blocks
+    other, g = F.col("m") - F.col("largest.c"), F.col("largest.c")
+    cost = other * blocks_of(F.col("m"), F.col("weight")) + g * blocks_of(other, F.col("weight") - F.col("largest.w"))
+    dear = shown.groupBy("key").agg(F.count("*").alias("rows")).join(by_component(large), "key").where(F.col("rows") >= cost).select("key")
+    found.append(checkpointed(in_blocks(large.join(dear, "key", "left_semi"), percent)))
+    shown = shown.join(dear, "key", "left_anti")
+    of = large.select("key", "id", "n", "slack", "component", "d")
+    side = lambda c: of.select("key", F.col("id").alias(c), F.col("slack").alias(f"slack_{c}"), F.col("d").alias(f"d_{c}"))
+    few = shown.where(F.col("held") <= 2 * SMALL).groupBy("key", "next").agg(F.collect_list(F.struct("id", "component")).alias("ids"))
+    pairs = few.select("key", F.explode("ids").alias("one"), "ids").select("key", "one", F.explode("ids").alias("two")).where("one.id < two.id and one.component != two.component")
+    pairs = pairs.select("key", F.col("one.id").alias("a"), F.col("two.id").alias("b")).groupBy("a", "b").agg(F.min("key").alias("key"))
     both = pairs.join(side("a"), ["key", "a"]).join(side("b"), ["key", "b"])
     found.append(checkpointed(both.where(linked(F.col("slack_a"), F.col("slack_b"), F.col("d_a"), F.col("d_b"))).select(F.col("a").alias("rep"), F.col("b").alias("member"))))
-    many = across.where(F.least("joined", "failures") > SMALL).select(F.xxhash64("key", "e", F.lit(0)).alias("next"), "key", "id")
-    many = many.unionByName(among.where(F.col("closer") > 2 * SMALL).select(F.xxhash64("key", "e", F.lit(1)).alias("next"), "key", "id"))
-    many = checkpointed(many.join(left.select("key", "id", "n", "d"), ["key", "id"]).select(F.col("next").alias("key"), "id", "n", "d"))
-    return found, None if many.isEmpty() else many
+    more = shown.where(F.col("held") > 2 * SMALL).select("key", "id", "held", "next").join(of, ["key", "id"]).withColumn("key", F.col("next"))
+    found.append(checkpointed(in_blocks(more.where(F.col("held") <= BLOCKED), percent)))
+    more = checkpointed(more.where(F.col("held") > BLOCKED).select("key", "id", "n", "d"))
+    return found, None if more.isEmpty() else more
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in the edges (rep, member): the smallest id it can reach."""
     both = edges.select(F.col("rep").alias("id"), F.col("member").alias("other")).unionByName(edges.select(F.col("member").alias("id"), F.col("rep").alias("other")))
     both = checkpointed(both.distinct())
-    labels = checkpointed(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
+    labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component"))
     number = 0
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("near")), "other").groupBy("id").agg(F.min("near").alias("near"))
@@ -300,9 +391,9 @@ def links(classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     texts = checkpointed(texts.groupBy("id").agg(F.min("packed").alias("packed")))
     pairs, large = buckets(members)
     found = [checkpointed(verify(pairs, texts, words)).where(is_linked(percent)).select("rep", "member")]
-    rows: DataFrame | None = checkpointed(differences(large, texts, words))
+    rows: DataFrame | None = None if large is None else checkpointed(differences(large, texts, words))
     while rows is not None:
-        more, rows = compared(rows, percent)
+        more, rows = compared(rows, percent, reduce(DataFrame.unionByName, found))
         found += more
         rows = rows and checkpointed(recentred(rows))
     return reduce(DataFrame.unionByName, found)

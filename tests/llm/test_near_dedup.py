@@ -97,6 +97,8 @@ def all_rounds(rows, percent):
 @pytest.mark.parametrize("small", [0, 4])
 def test_rounds_lose_no_link(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCKED", 16)  # else a bucket of this size needs one round
+    monkeypatch.setattr(near_dedup, "SIDE", 1)
     rng = random.Random(9)
     base = set(range(100))
     other = base ^ set(range(85, 115))  # a second group in the same bucket, apart from the first
@@ -125,6 +127,61 @@ def test_unlinked_copies_of_one_template_make_few_candidates(spark):
     assert not found
 
 
+def template(rng, n, slots=16, choices=3, words=300):
+    """Documents of one text, each slot of it filled with one of a few words."""
+    places = rng.sample(range(words), slots)
+    for i in range(n):
+        text = [f"w{k}" for k in range(words)]
+        for p in places:
+            text[p] = f"v{p}x{rng.randrange(choices)}"
+        yield i + 1, " ".join(text)
+
+
+@pytest.mark.parametrize(("n", "choices"), [(400, 3), (1600, 3), (400, 12)])
+def test_shared_variants_of_a_template(spark, monkeypatch, n, choices):
+    rows = list(template(random.Random(n + choices), n, choices=choices))
+    sizes = []
+
+    def counted(df):
+        out = checkpointed(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "checkpointed", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 5, 80).collect()}
+    variants = np.array([[hash(w) for w in t.split()] for _, t in rows])
+    label = list(range(n))
+    for i in range(n):  # words are windows of five: sets of shingles are positions, and all positions' texts differ
+        same = variants[i] == variants[i + 1 :]
+        windows = np.lib.stride_tricks.sliding_window_view(same, 5, axis=1).all(2).sum(1) if i + 1 < n else []
+        for j in np.flatnonzero(100 * np.asarray(windows) >= 80 * (2 * 296 - np.asarray(windows))) + i + 1:
+            a, b = i, int(j)
+            while label[a] != a:
+                a = label[a]
+            while label[b] != b:
+                b = label[b]
+            label[max(a, b)] = min(a, b)
+    root = lambda x: x if label[x] == x else root(label[x])
+    assert got == {i + 1: root(i) + 1 for i in range(n)}
+    assert max(sizes) <= 32 * n and len(sizes) < 25  # no step has more rows than the 32 bands of each document
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    rng = random.Random(2)
+    base = set(range(100))
+    sets = [base ^ set(rng.sample(range(60, 140), rng.randint(6, 14))) for _ in range(150)]
+    links = [(a, b) for a in range(150) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    given = [(1, i, 15 * len(s) - 185 * len(s ^ base), i if i > 60 else 0, sorted(s ^ base)) for i, s in enumerate(sets)]
+    rows = spark.createDataFrame(given, "key long, id long, slack long, component long, d array<long>")
+    for side in (7, 64, 256):
+        monkeypatch.setattr(near_dedup, "SIDE", side)
+        found = [(r.rep, r.member) for r in near_dedup.in_blocks(rows, 85).collect()]
+        assert {(max(x), min(x)) for x in found} <= set(links)
+        chain = [(0, i) for i in range(1, 61)]
+        assert reached(found + chain) == reached(links + chain)
+
+
 def test_signatures_estimate_similarity():
     x = near_dedup.shingles(" ".join(f"w{i}" for i in range(1000)).encode(), 3)
     y = near_dedup.shingles(" ".join(f"w{i}" for i in range(200, 1200)).encode(), 3)
