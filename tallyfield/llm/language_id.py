@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import held_out, named
 
 DIMS, BITS, PER_LANG, FULL_LANGS, REJECT_UNDER = 4096, 15, 400, 16, 0.02
+#: Parts of a language from which its sample is taken, and up to how many languages it is broadcast.
+PARTS, FEW_LANGS = 16, 10_000
 #: Texts whose features a task holds at a time.
 ROWS = 128
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
@@ -127,15 +129,16 @@ def with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    languages = counts.count()
+    known = rows.select("lang", "doc_id").distinct()
+    languages = known.select("lang").distinct().count()
     per_lang = min(per_lang, max(1, FULL_LANGS * per_lang // max(1, languages)))
-    counts = F.broadcast(counts) if languages <= 10_000 else counts
-    # by count and hash about twice as many come near the window as it keeps, however large a language is
-    near = rows.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("rows")) < 2 * per_lang + 64).select("lang", "doc_id").distinct()
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
-    ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("lang", "doc_id")
-    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    # the smallest hashes of each language, first of its parts, however large it is
+    ids = known.withColumns({"at": F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "part": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))})
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "doc_id"))).where(F.col("n") <= per_lang).drop("n")
+    ids = ids.select("lang", "doc_id")
+    ids = F.broadcast(ids) if languages <= FEW_LANGS else ids  # then at most 10,000 rows, as more languages have fewer each
+    chosen = rows.join(ids, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     found = chosen.select("lang", "text").mapInArrow(with_features, "lang string, features binary").toArrow()
     if not found.num_rows:
         return None

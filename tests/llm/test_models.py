@@ -41,6 +41,28 @@ def test_repeated_rows_are_learnt_once(spark):
     assert models[0].languages == models[1].languages and all(m.weights.shape[0] == language_id.DIMS for m in models)
 
 
+@pytest.fixture
+def learnt(monkeypatch):
+    """The languages of the rows that a model is fitted to."""
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda features, labels: seen.append(list(labels)))
+    return seen
+
+
+@pytest.mark.parametrize("single", [3, 17, 1_000_005])
+def test_a_language_of_one_document_in_many_rows_is_learnt(spark, learnt, single):
+    docs = spark.range(30_000 - 59).selectExpr(f"{single}L AS doc_id", "'hola que tal' AS text", "'es' AS lang")
+    docs = docs.unionByName(spark.range(59).selectExpr("id * 1000 + 100 AS doc_id", "concat('the thing ', id) AS text", "'en' AS lang"))
+    language_id.train(docs)
+    assert set(learnt[0]) == {"en", "es"} and learnt[0].count("es") == 1
+
+
+def test_repeated_documents_leave_room_for_others(spark, learnt):
+    docs = spark.range(400_000).selectExpr("id % 2000 AS doc_id", "concat('le mot ', id % 2000) AS text", "'fr' AS lang")
+    language_id.train(docs)
+    assert learnt[0] == ["fr"] * language_id.PER_LANG
+
+
 def test_codewords_stay_apart():
     codes = language_id.codewords(20, 15)
     assert min((a != b).sum() for i, a in enumerate(codes) for b in codes[:i]) >= 3
