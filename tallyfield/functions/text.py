@@ -89,19 +89,32 @@ def team_before_dash(caption: Column) -> Column:
 
 
 def initials(text: Column) -> Column:
-    """Lower-case first letters; words of up to three letters count whole. All but letters, digits and underscores part words."""
-    words = F.filter(F.transform(F.split(F.replace(text, F.lit("_"), F.lit("")), "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
+    """Lower-case first letters; words of up to three letters count whole. All but letters and digits part words."""
+    words = F.filter(F.transform(F.split(text, "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.when(F.length(w) <= 3, w).otherwise(F.substring(w, 1, 1))), "")
 
 
+def name_forms(text: Column) -> Column:
+    """What ``forms_likely_match`` compares, so that it is made once a name."""
+    return F.struct(alnum(text).alias("alnum"), initials(text).alias("initials"))
+
+
+def forms_likely_match(a: Column, b: Column) -> Column:
+    x, y = a["alnum"], b["alnum"]
+    either = F.contains(x, y) | F.contains(y, x) | (a["initials"] == b["initials"])
+    return F.coalesce((x != "") & (y != "") & either, F.lit(False))
+
+
 def names_likely_match(a: Column, b: Column) -> Column:
     """One name contains the other, or their initials agree."""
-    x, y = alnum(a), alnum(b)
-    either = F.contains(x, y) | F.contains(y, x) | (initials(a) == initials(b))
-    return F.coalesce((x != "") & (y != "") & either, F.lit(False))
+    return forms_likely_match(name_forms(a), name_forms(b))
+
+
+def team_set(home: Column, away: Column) -> Column:
+    """Both names as a set, without regard to case and spacing."""
+    return F.array_sort(F.array_distinct(F.array(hyphenated(F.lower(home)), hyphenated(F.lower(away)))))
 
 
 def same_teams(home_a: Column, away_a: Column, home_b: Column, away_b: Column) -> Column:
-    """Equal as unordered pairs, without regard to case and spacing."""
-    norm = lambda x, y: F.array_sort(F.array(hyphenated(F.lower(x)), hyphenated(F.lower(y))))
-    return norm(home_a, away_a) == norm(home_b, away_b)
+    """Equal as sets, without regard to case and spacing."""
+    return team_set(home_a, away_a) == team_set(home_b, away_b)

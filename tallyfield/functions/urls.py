@@ -33,9 +33,10 @@ def resolve_box_url(raw: Column, base: Column) -> Column:
 
 
 def resolve_url(href: Column, base: Column) -> Column:
-    """As above, but all that starts with http stays and ``//x`` follows the origin."""
+    """As above, but all that starts with http stays, ``//x`` follows the origin, and without an origin the link stays."""
     slash = F.when(F.startswith(href, F.lit("/")), F.lit("")).otherwise(F.lit("/"))
-    return F.when(F.coalesce(href, F.lit("")) == "", F.lit(None).cast("string")).when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(origin(base), slash, href))
+    none, start = F.coalesce(href, F.lit("")) == "", origin(base)
+    return F.when(none, F.lit(None).cast("string")).when(F.startswith(href, F.lit("http")) | (start == ""), href).otherwise(F.concat(start, slash, href))
 
 
 def page_game_id(url: Column, prefix: str) -> Column:
@@ -46,3 +47,16 @@ def page_game_id(url: Column, prefix: str) -> Column:
 def links(html: Column, pattern: str) -> Column:
     """Distinct matches of a link pattern, in order, with entities undone."""
     return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))))
+
+
+#: Fixed patterns of links to the box scores of another platform and to documents.
+OTHER_PLATFORM, DOCUMENT = r"(?i)https?://wmt\.games/[^\s\"'<>]+", r"(?i)https?://[^\s\"'<>]+\.pdf"
+
+
+def other_platform_link(html: Column) -> Column:
+    """The first link to the other platform, null without one."""
+    return F.try_element_at(links(html, OTHER_PLATFORM), F.lit(1))
+
+
+def document_links(html: Column) -> Column:
+    return links(html, DOCUMENT)

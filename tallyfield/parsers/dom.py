@@ -30,13 +30,14 @@ class Node:
     def first(self, *tags: str, cls: str | None = None, where: Callable[[Node], bool] | None = None) -> Node | None:
         return next(iter(self.all(*tags, cls=cls, where=where)), None)
 
-    def text(self) -> str:
+    def text(self, without: set[str] = frozenset()) -> str:
+        """All text, but for elements with a class of ``without``."""
         out, stack = [], [self]
         while stack:
             node = stack.pop()
             if isinstance(node, str):
                 out.append(node)
-            else:
+            elif not without or not node.classes & without:
                 stack += reversed(node.children)
         return "".join(out)
 

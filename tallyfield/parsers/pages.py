@@ -14,9 +14,12 @@ from typing import Any
 
 from .dom import Node, parse, text_of
 
-GAME = ["opponent", "date_text", "date_attrs", "date_iso", "side", "result", "box", "home", "away"]
+GAME = ["opponent", "date_text", "date_attrs", "date_iso", "side", "result", "box", "home", "away", "left", "separator", "right"]
 PLAYER = ["team", "jersey", "player", "position", "minutes", "goals", "assists", "shots", "shots_on_goal", "saves", "goals_allowed"]
-PAYLOAD_ID = "__NUXT_DATA__"
+#: Fixed values of payload scripts: the id of the JSON one, what other ones hold, and where their list starts.
+PAYLOAD_ID, PAYLOAD_WORDS, PAYLOAD_MARK = "__NUXT_DATA__", ('"schedule":', "ShallowReactive"), '[["ShallowReactive"'
+#: Members of a payload's objects that are followed further have one of these in their names.
+FOLLOWED = ("result", "opponent", "date", "location", "schedule", "schedules", "games", "game_links", "boxscore")
 MOST_HOPS = 8
 
 
@@ -27,6 +30,17 @@ def box_link(node: Node) -> str:
     return next((a.attrs["href"] for a in [*said, *shaped] if a.attrs.get("href")), "")
 
 
+def table_box_link(row: Node) -> str:
+    """By an anchor's text, by its address, then any boxscore address or JSON member within the row."""
+    links = row.all("a")
+    said = [a for a in links if "box score" in (t := a.text().strip().lower()) or t == "box"]
+    shaped = [a for a in links if re.search(r"boxscore|/stats/", a.attrs.get("href", ""), re.I)]
+    if said or shaped:
+        return (said or shaped)[0].attrs.get("href", "")
+    other = next((h for n in row.below() if "boxscore" in (h := n.attrs.get("href", "")).lower()), "")
+    return other or (m[1] if (m := re.search(r'"boxscore"\s*:\s*"([^"]+)"', row.text(), re.I)) else "")
+
+
 def side_of(word: str) -> str:
     word = word.strip().lower().rstrip(".")
     return {"at": "away", "vs": "home"}.get(word, "unknown")
@@ -145,16 +159,17 @@ def table_rows(page: Node) -> Iterator[dict]:
             result = column("result") if any("result" in h for h in heads) else result_cell(cells, (date, opponent))
             name = next((n for c in ("schedule-event-item-team__opponent-name", "schedule-default-team__opponent-name") if (n := opponent.first(cls=c))), None)
             stamp = next((text_of(n) for c in ("schedule-event-item-team__divider--desktop", "schedule-default-team__divider") if (n := opponent.first(cls=c))), "")
-            said = name.own_text() if name else text_of(opponent)
+            said = f"{stamp} {name.own_text()}".strip() if name else ""
+            said = said or " ".join(opponent.text(without={"schedule-event-item-team__promo-title", "schedule-event-item-team__divider"}).split())
             lead = re.match(r"(?i)(at|vs)\.?\s+", said)
             yield {
-                "opponent": said[lead.end() :] if lead else said,
+                "opponent": (said[lead.end() :] if lead else said) or "Unknown Opponent",
                 "date_text": text_of(date),
                 "date_attrs": "\n".join(n.attrs[k] for n in (date, row) for k in DATE_ATTRS if n.attrs.get(k)),
                 "date_iso": iso_date(row),
-                "side": side_of(stamp or (lead[1] if lead else "vs")),
+                "side": side_of(lead[1] if lead else ""),
                 "result": text_of(result),
-                "box": box_link(row),
+                "box": table_box_link(row),
             }
 
 
@@ -181,54 +196,113 @@ def linked_data(page: Node) -> Iterator[dict]:
         for event in events:
             kind, date = event.get("@type"), next((event[k] for k in ("startDate", "start_date", "date") if event.get(k)), "")
             if "SportsEvent" in (kind if isinstance(kind, list) else [kind]) and date:
-                title = re.search(r"(?i)^(.*?)\s+(vs\.?|at)\s+(.*)$", str(event.get("name", "")))
-                home, away = said_name(event.get("homeTeam")), said_name(event.get("awayTeam"))
-                if title:  # a matchup in the title says more than the teams
-                    home, away = (title[1], title[3]) if title[2].lower().startswith("vs") else (title[3], title[1])
-                yield {"date_text": str(date).split("T")[0], "home": home, "away": away, "side": "both", "box": str(event.get("url") or "")}
+                title = re.search(r"(?i)(.+?)\s+(vs\.?|at)\s+(.+)", " ".join(str(event.get("name") or "").split()))
+                scores = [first_score(event.get(f"{side}Team"), event.get(f"{side}Score"), f"{side}Score") for side in ("home", "away")]
+                yield {
+                    "date_text": str(date).split("T")[0],
+                    "home": said_name(event.get("homeTeam")),
+                    "away": said_name(event.get("awayTeam")),
+                    **(dict(zip(("left", "separator", "right"), (title[1].strip(), title[2].lower(), title[3].strip()), strict=True)) if title else {}),
+                    "side": "both",
+                    "result": "-".join(scores) if all(scores) else "",
+                }
+
+
+def leading_int(value: Any) -> str:
+    """The digits that a number or text starts with; no sign, as scores have none."""
+    return m[1] if isinstance(value, int | float | str) and (m := re.match(r"\s*\+?(\d+)", str(value))) else ""
+
+
+def first_score(team: Any, score: Any, name: str) -> str:
+    of_team = (team.get("score"), team.get(name)) if isinstance(team, dict) else ()
+    return leading_int(next((v for v in (*of_team, score) if v is not None), None))
+
+
+def sliced(text: str, start: int) -> list:
+    """The list that starts there, to its closing bracket; brackets within strings don't count. Of one that is cut off, what is whole."""
+    decoder, found, at = json.JSONDecoder(), [], start + 1
+    while at < len(text):
+        while at < len(text) and text[at] in " \t\r\n,":
+            at += 1
+        try:
+            value, at = decoder.raw_decode(text, at)
+        except ValueError:  # the closing bracket, the end of the page, or something that isn't JSON
+            break
+        found.append(value)
+    return found
 
 
 def payload(page: Node) -> list:
+    """The list of the JSON script, else the first list behind a mark of another payload script that names a schedule."""
     script = page.first("script", where=lambda n: n.attrs.get("id") == PAYLOAD_ID)
     try:
         found = json.loads(script.text()) if script else []
     except ValueError:
         found = []
-    return found if isinstance(found, list) else []
+    if isinstance(found, list) and found:
+        return found
+    text = next((t for n in page.all("script") if all(w in (t := n.text()) for w in PAYLOAD_WORDS)), "")
+    lists = (sliced(text, m.start()) for m in re.finditer(re.escape(PAYLOAD_MARK), text))
+    return next((x for x in lists if config_of(x)), [])
+
+
+def config_of(data: list) -> dict | None:
+    return next((x for x in data if isinstance(x, dict) and x.get("schedule")), None)
 
 
 def slot(data: list, value: Any) -> Any:
-    return data[value] if isinstance(value, int) and not isinstance(value, bool) and 0 <= value < len(data) else value
+    """A number points to a place of the list; beyond its end there is nothing."""
+    if isinstance(value, bool) or not isinstance(value, int):
+        return value
+    return data[value] if 0 <= value < len(data) else None
 
 
-def resolved(data: list, value: Any, hops: int = 0) -> Any:
-    """Objects with their members' slots filled in; members that are numbers are pointers, once."""
-    if hops < MOST_HOPS and isinstance(value, dict):
-        return {k: resolved(data, slot(data, v), hops + 1) for k, v in value.items()}
+def resolved(data: list, value: Any, names: tuple[str, ...] = FOLLOWED, hops: int = 0) -> Any:
+    """Objects and lists with their slots filled in; only members with one of ``names`` in theirs are followed further."""
+    if hops > MOST_HOPS:
+        return value
+    if isinstance(value, list):
+        return [resolved(data, slot(data, v), names, hops + 1) for v in value]
+    if isinstance(value, dict):
+        followed = lambda k: any(f in k.lower() for f in names)
+        return {k: resolved(data, slot(data, v), names, hops + 1) if followed(k) else slot(data, v) for k, v in value.items()}
     return value
 
 
+def link_of(value: Any) -> str:
+    """A box-score link said as text, number, list or object."""
+    if isinstance(value, list):
+        value = next((x for x in value if isinstance(x, str) or isinstance(x, dict) and isinstance(x.get("url"), str)), "")
+        return value if isinstance(value, str) else value["url"]
+    if isinstance(value, dict):
+        return next((value[k] for k in ("url", "href", "link") if isinstance(value.get(k), str)), "")
+    return str(value) if value and isinstance(value, int | float | str) and not isinstance(value, bool) else ""
+
+
 def payload_games(page: Node) -> Iterator[dict]:
     data = payload(page)
-    config = next((x for x in data if isinstance(x, dict) and "schedule" in x), None)
+    config = config_of(data)
     box = slot(data, config["schedule"]) if config else None
-    lists = slot(data, box["schedules"]) if isinstance(box, dict) and "schedules" in box else None
+    lists = slot(data, box.get("schedules")) if isinstance(box, dict) else None
     first = slot(data, next(iter(lists.values()))) if isinstance(lists, dict) and lists else None
     games = slot(data, first.get("games")) if isinstance(first, dict) else None
     for at in games if isinstance(games, list) else []:
         game = resolved(data, slot(data, at))
-        if not isinstance(game, dict) or not game.get("date"):
+        if not isinstance(game, dict) or not isinstance(game.get("date"), str) or not game["date"]:
             continue
         result = game.get("result") if isinstance(game.get("result"), dict) else {}
-        opponent = game.get("opponent")
-        score = "-".join(str(result.get(k) or "") for k in ("team_score", "opponent_score"))
-        link = result.get("boxscore")
+        opponent = game.get("opponent") if isinstance(game.get("opponent"), dict) else {"title": game.get("opponent")}
+        scores = [leading_int(result.get(k)) for k in ("team_score", "opponent_score")]
+        said = str(game.get("status") or "") if result else ""
+        of_status = next((w for w in ("canceled", "postponed") if w[:4] in said.lower()), "")
+        links = game.get("game_links") if isinstance(game.get("game_links"), list) else []
+        other = next((x for x in links if isinstance(x, dict) and "box score" in str(x.get("title") or "").lower()), {})
         yield {
-            "opponent": said_name(opponent if not isinstance(opponent, dict) else {"name": opponent.get("name") or opponent.get("title")}) or "Unknown Opponent",
-            "date_text": str(game["date"]).split("T")[0],
-            "side": {"H": "home", "A": "away"}.get(game.get("location_indicator") or game.get("locationIndicator"), "neutral"),
-            "result": score if re.fullmatch(r"\d+-\d+", score) else "",
-            "box": link if isinstance(link, str) else said_name({"name": link.get("url") or link.get("href")}) if isinstance(link, dict) else "",
+            "opponent": said_name({"name": opponent.get("title") or opponent.get("name")}) or "Unknown Opponent",
+            "date_text": game["date"].split("T")[0],
+            "side": {"H": "home", "A": "away"}.get(game.get("location_indicator"), "neutral"),
+            "result": "-".join(scores) if all(scores) else of_status,
+            "box": link_of(result.get("boxscore")) or link_of(other.get("url") or other),
         }
 
 
@@ -237,9 +311,8 @@ ALONE = {"payload": payload_games}
 TOGETHER = {"cards": cards, "list": list_items, "table": table_rows, "scoreboard": scoreboard, "linked": linked_data}
 
 
-def schedule_cells(html: str | None) -> list[tuple]:
+def game_cells(page: Node) -> list[tuple]:
     """(layout, position, GAME...) of every game on a page."""
-    page = parse(html)
     for layouts in (ALONE, TOGETHER):
         rows = [(layout, i, *[x.get(k, "") for k in GAME]) for layout, find in layouts.items() for i, x in enumerate(find(page))]
         if rows:
@@ -247,9 +320,15 @@ def schedule_cells(html: str | None) -> list[tuple]:
     return []
 
 
-def page_year(html: str | None) -> str | None:
-    heads = (re.search(r"\b(20\d{2})\b", n.text()) for n in parse(html).all("h1", "h2", "h3"))
-    return next((m[1] for m in heads if m), None)
+def read_schedule(html: str | None) -> tuple[str | None, str, str | None, list[tuple]]:
+    """The year of the headings, the canonical link, what went wrong, and the games' cells."""
+    try:
+        page = parse(html)
+        heads = (re.search(r"\b(20\d{2})\b", n.text()) for n in page.all("h1", "h2", "h3"))
+        canonical = page.first("link", where=lambda n: n.attrs.get("rel") == "canonical")
+        return next((m[1] for m in heads if m), None), canonical.attrs.get("href", "") if canonical else "", None, game_cells(page)
+    except Exception as error:  # a page that can't be read is listed, and doesn't end the job
+        return None, "", f"{type(error).__name__}: {error}"[:200], []
 
 
 def classic_box(page: Node) -> Iterator[dict]:
@@ -280,7 +359,7 @@ def payload_box(page: Node) -> Iterator[dict]:
             continue
         players = slot(data, team["players"])
         for at in players if isinstance(players, list) else []:
-            p = resolved(data, slot(data, at))
+            p = resolved(data, slot(data, at), ("shots", "goalie"))
             if not isinstance(p, dict):
                 continue
             shots, keeper = (p.get(k) if isinstance(p.get(k), dict) else {} for k in ("shots", "goalie"))
@@ -298,11 +377,14 @@ def payload_box(page: Node) -> Iterator[dict]:
             }
 
 
-def box_cells(html: str | None) -> list[tuple]:
-    """(layout, position, PLAYER...) by the first layout that finds players."""
-    page = parse(html)
-    for layout, find in (("payload", payload_box), ("advanced", advanced_box), ("classic", classic_box)):
-        rows = [(layout, i, *[None if x.get(k) is None else str(x[k]) for k in PLAYER]) for i, x in enumerate(find(page))]
-        if rows:
-            return rows
-    return []
+def box_cells(html: str | None) -> tuple[str | None, list[tuple]]:
+    """What went wrong, and (layout, position, PLAYER...) by the first layout that finds players."""
+    try:
+        page = parse(html)
+        for layout, find in (("payload", payload_box), ("advanced", advanced_box), ("classic", classic_box)):
+            rows = [(layout, i, *[None if x.get(k) is None else str(x[k]) for k in PLAYER]) for i, x in enumerate(find(page))]
+            if rows:
+                return None, rows
+        return None, []
+    except Exception as error:
+        return f"{type(error).__name__}: {error}"[:200], []

@@ -1,4 +1,8 @@
-"""Games from landed pages: cells come from ``pages``, everything else is column expressions."""
+"""Games from landed pages: cells come from ``pages``, everything else is column expressions.
+
+Each page is read once: ``read_pages`` keeps what was found on it, or what went wrong, and games,
+failed pages and counters all come from those rows.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions import dates, status, text, urls
-from tallyfield.operators.merge import keep_first
+from tallyfield.operators.linked import fold_linked
 
 from . import pages
 
 CELLS = "array<struct<layout:string,position:int," + ",".join(f"{c}:string" for c in pages.GAME) + ">>"
+READ = f"struct<year:string,canonical:string,error:string,cells:{CELLS}>"
 PLATFORM_JSON = (
     "array<struct<id:bigint,date:string,type:string,status:string,location:string,location_indicator:string,neutral_hometeam:boolean,"
     "opponent:struct<name:string,image:string>,result:struct<status:string,team_score:string,opponent_score:string,boxscore:string>,schedule:struct<url:string>>>"
@@ -18,13 +23,41 @@ PLATFORM_JSON = (
 GAME_COLUMNS = ["game_id", "date", "date_is_known", "home_team_name", "away_team_name", "home_team_ranked", "away_team_ranked", "home_score", "away_score", "location_type", "status", "schedule_url", "boxscore_url", "dedupe_key", "layout", "position"]
 #: Later layouts of this list give way to earlier ones for the same game of a page.
 PRIORITY = ["payload", "platform", "table", "list", "cards", "scoreboard", "linked"]
+#: The order in which a page's layouts are read, which is the order of its games.
+READING = ["payload", "platform", "cards", "list", "table", "scoreboard", "linked"]
 
 
-def _keyed(rows: DataFrame, prefix: str) -> DataFrame:
-    d, h, a = F.col("date"), F.col("home_team_name"), F.col("away_team_name")
-    rows = rows.withColumns({"dedupe_key": text.dedupe_key(d, h, a), "date_is_known": dates.is_known(d)})
-    own = F.col("game_id") if "game_id" in rows.columns else F.lit(None).cast("string")
-    return rows.withColumn("game_id", F.coalesce(own, text.game_id(d, h, a, prefix)))
+def place_in(names: list[str]) -> Column:
+    return F.array_position(F.array(*map(F.lit, names)), F.col("layout"))
+
+
+def read_pages(raw: DataFrame) -> DataFrame:
+    """``raw`` (page_id, body, team_name, source_url, default_year) with ``found``, raw games, and ``error``.
+
+    A page is platform JSON, read by Spark's own expressions, or HTML. An array with an element
+    that misses a required member counts as no platform array. Filters on pages belong before this.
+    """
+    is_json = F.coalesce(F.ltrim("body").startswith("["), F.lit(False))
+    array = F.from_json(F.when(is_json, F.col("body")), PLATFORM_JSON)
+    whole = F.forall(array, lambda g: g["id"].isNotNull() & g["date"].isNotNull() & g["type"].isNotNull() & g["opponent"]["name"].isNotNull())
+    read = F.udf(pages.read_schedule, READ, useArrow=True)(F.when(~is_json, F.col("body")))
+    rows = raw.select("page_id", "team_name", "source_url", F.col("default_year").cast("string").alias("default_year"), F.when(whole, array).alias("p"), read.alias("r"))
+
+    def seen_base(i: Column) -> Column:  # the first schedule link so far tells the site
+        origins = F.transform(F.slice("p", F.lit(1), i + 1), lambda x: urls.origin(x["schedule"]["url"]))
+        return F.coalesce(F.try_element_at(F.filter(origins, lambda o: o != ""), F.lit(1)), F.lit(""))
+
+    no_cell, no_game = F.lit(None).cast(CELLS.removeprefix("array<").removesuffix(">")), F.lit(None).cast(PLATFORM_JSON.removeprefix("array<").removesuffix(">"))
+    of_html = F.transform("r.cells", lambda c: F.struct(c.alias("c"), no_game.alias("g"), F.lit("").alias("base"), c["position"].alias("position")))
+    of_json = F.transform("p", lambda g, i: F.struct(no_cell.alias("c"), g.alias("g"), seen_base(i).alias("base"), i.alias("position")))
+    base = F.coalesce(F.nullif("source_url", F.lit("")), F.col("r.canonical"))
+    rows = rows.withColumn("found", F.coalesce(of_json, of_html, F.array().cast(of_html_type())))
+    return rows.select("page_id", "team_name", "source_url", base.alias("base_url"), F.coalesce("r.year", "default_year").alias("year"), F.col("r.error").alias("error"), "found")
+
+
+def of_html_type() -> str:
+    cell, game = CELLS.removeprefix("array<").removesuffix(">"), PLATFORM_JSON.removeprefix("array<").removesuffix(">")
+    return f"array<struct<c:{cell},g:{game},base:string,position:int>>"
 
 
 def _named(context: Column, opponent: Column, is_home: Column) -> dict[str, Column]:
@@ -42,83 +75,77 @@ def _said_date() -> Column:
 
     A year within a table's date text beats the page's.
     """
-    year = F.when(F.col("layout") == "table", F.nullif(F.regexp_extract("date_text", r"\b(20[0-9]{2})\b", 1), F.lit("")))
+    year = F.when(F.col("c.layout") == "table", F.nullif(F.regexp_extract("c.date_text", r"\b(20[0-9]{2})\b", 1), F.lit("")))
     year = F.coalesce(year, F.col("year"))
-    tried = F.transform(F.split("date_attrs", "\n"), lambda x: dates.parse_date(x, year))
+    tried = F.transform(F.split("c.date_attrs", "\n"), lambda x: dates.parse_date(x, year))
     first = F.try_element_at(F.filter(tried, dates.is_known), F.lit(1))
-    iso = F.nullif(F.col("date_iso"), F.lit(""))
-    return F.coalesce(first, F.when(dates.is_known(iso), iso), dates.parse_date(F.col("date_text"), year))
-
-
-def html_games(raw: DataFrame, prefix: str) -> DataFrame:
-    """``raw``: page_id, body, team_name, source_url, default_year. Filters on pages belong before this."""
-    cells = F.udf(pages.schedule_cells, CELLS, useArrow=True)
-    year = F.udf(pages.page_year, "string", useArrow=True)
-    found = raw.select("page_id", "team_name", "source_url", F.coalesce(year("body"), F.col("default_year").cast("string")).alias("year"), F.explode(cells("body")).alias("c")).select("*", "c.*").drop("c")
-    both = F.col("side") == "both"
-    context, opponent = F.when(both, F.col("home")).otherwise(F.coalesce("team_name", F.lit("Unknown Team"))), F.when(both, F.col("away")).otherwise(F.col("opponent"))
-    is_home = F.col("side") != "away"
-    is_home = F.when(F.col("side") == "neutral", F.lit(False)).otherwise(is_home)
-    score = status.scores(F.col("result"), is_home)
-    place = F.when(both, F.when(text.names_likely_match(F.col("home"), F.col("team_name")), "home").when(text.names_likely_match(F.col("away"), F.col("team_name")), "away").otherwise("unknown")).otherwise(F.col("side"))
-    rows = found.withColumns(
-        {"date": _said_date(), **_named(context, opponent, is_home), "home_score": score["home"], "away_score": score["away"], "location_type": place, "schedule_url": F.col("source_url")}
-        | {"status": status.status_of_text(F.col("result")), "boxscore_url": urls.resolve_url(F.col("box"), F.col("source_url"))}
-    )
-    return _keyed(rows, prefix).select("page_id", *GAME_COLUMNS)
-
-
-def platform_games(raw: DataFrame, prefix: str) -> DataFrame:
-    """Platform JSON, in Spark's own expressions; bodies that are no such array give no rows."""
-    found = raw.select("page_id", "team_name", "source_url", F.posexplode(F.from_json("body", PLATFORM_JSON)).alias("position", "g"))
-    found = found.where("g.id is not null")
+    iso = F.nullif(F.col("c.date_iso"), F.lit(""))
+    return F.coalesce(first, F.when(dates.is_known(iso), iso), dates.parse_date(F.col("c.date_text"), year))
+
+
+def _opponent(context: Column) -> tuple[Column, Column]:
+    """Opponent and whether the context team is at home, by linked data: its title says more than its teams; null if neither tells."""
+    like = lambda c: text.names_likely_match(F.col(c), context)
+    titled, versus = F.col("c.separator") != "", F.startswith("c.separator", F.lit("vs"))
+    right_only = like("c.right") & ~like("c.left")
+    has = lambda c: F.col(c) != ""
+    away_only = ~(like("c.home") & has("c.away")) & like("c.away") & has("c.home")
+    by_teams = F.when(like("c.home") & has("c.away"), F.col("c.away")).when(away_only, F.col("c.home")).when(has("c.home") & has("c.away"), F.col("c.away"))
+    opponent = F.when(titled, F.when(right_only, F.col("c.left")).otherwise(F.col("c.right"))).otherwise(by_teams)
+    home = F.when(titled, F.when(right_only, ~versus).otherwise(versus)).otherwise(~away_only)
+    return opponent, home
+
+
+def games_of(read: DataFrame, prefix: str = "game") -> DataFrame:
+    """All games of the pages, as their layouts say them: page_id and GAME_COLUMNS."""
+    rows = read.select("page_id", "team_name", "source_url", "base_url", "year", F.explode("found").alias("f")).select("*", "f.*").drop("f")
+    context = F.coalesce("team_name", F.lit("Unknown Team"))
+    platform, linked = F.col("g").isNotNull(), F.coalesce(F.col("c.layout") == "linked", F.lit(False))
+    other, other_home = _opponent(context)
+    opponent = F.when(platform, F.coalesce("g.opponent.name", F.lit("Unknown Opponent"))).when(linked, other).otherwise(F.col("c.opponent"))
+    rows = rows.where(platform | ~linked | F.coalesce((other != "") & ~other.rlike("(?i)^(unknown opponent|away team|home team)$"), F.lit(False)))
     side = F.coalesce("g.location_indicator", F.lit("H"))
-    is_home = F.when(side == "N", F.coalesce("g.neutral_hometeam", F.lit(False))).otherwise(side == "H")
-    line = F.concat_ws("-", "g.result.team_score", "g.result.opponent_score")
-    score = status.scores(line, is_home)
+    at_home = F.when(side == "N", F.coalesce("g.neutral_hometeam", F.lit(False))).otherwise(side == "H")
+    is_home = F.when(platform, at_home).when(linked, other_home).otherwise(~F.col("c.side").isin("away", "neutral"))
+    result = F.when(platform, F.concat_ws("-", "g.result.team_score", "g.result.opponent_score")).otherwise(F.col("c.result"))
+    score = status.scores(result, is_home | linked)  # linked data names the home team's first
+    date = F.when(platform, F.coalesce(dates.utc_date(F.col("g.date")), F.concat(F.substring("g.date", 1, 4), F.lit("-01-01")))).when(linked, F.col("c.date_text")).otherwise(_said_date())
+    place = F.when(platform, status.location(side)).when(linked, F.when(other_home, "home").otherwise("away")).otherwise(F.col("c.side"))
+    said = F.when(platform, status.status_of_code(F.col("g.status"), F.col("g.result.status"))).otherwise(status.status_of_text(F.col("c.result")))
     box = F.col("g.result.boxscore")
-    base = F.coalesce(F.first(F.nullif(urls.origin(F.col("g.schedule.url")), F.lit("")), ignorenulls=True).over(_so_far()), F.lit(""))
-    rows = found.withColumns(
-        {"date": F.coalesce(dates.utc_date(F.col("g.date")), F.concat(F.substring("g.date", 1, 4), F.lit("-01-01"))), **_named(F.coalesce("team_name", F.lit("Unknown Team")), F.coalesce("g.opponent.name", F.lit("Unknown Opponent")), is_home)}
-        | {"home_score": score["home"], "away_score": score["away"], "location_type": status.location(side), "status": status.status_of_code(F.col("g.status"), F.col("g.result.status"))}
-        | {"schedule_url": F.coalesce("g.schedule.url", "source_url"), "boxscore_url": F.when(box == "", None).when(F.startswith(box, F.lit("http")), box).otherwise(F.concat(base, box))}
-        | {"layout": F.lit("platform"), "game_id": F.concat(F.lit(f"{prefix}-"), F.col("g.id").cast("string"))}
+    of_platform = F.when(box == "", None).when(F.startswith(box, F.lit("http")), box).otherwise(F.concat("base", box))
+    rows = rows.withColumns(
+        {"date": date, **_named(context, opponent, is_home), "home_score": score["home"], "away_score": score["away"], "location_type": place, "status": said}
+        | {"schedule_url": F.when(platform, F.coalesce("g.schedule.url", "source_url")).otherwise(F.col("source_url")), "boxscore_url": F.when(platform, of_platform).otherwise(urls.resolve_url(F.col("c.box"), F.col("base_url")))}
+        | {"layout": F.when(platform, "platform").otherwise(F.col("c.layout"))}
     )
-    return _keyed(rows, prefix).select("page_id", *GAME_COLUMNS)
-
+    d, h, a = F.col("date"), F.col("home_team_name"), F.col("away_team_name")
+    own = F.when(platform, F.concat(F.lit(f"{prefix}-"), F.col("g.id").cast("string"))).otherwise(text.game_id(d, h, a, prefix))
+    return rows.withColumns({"dedupe_key": text.dedupe_key(d, h, a), "date_is_known": dates.is_known(d), "game_id": own}).select("page_id", *GAME_COLUMNS)
 
-def _so_far():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+def merged(games: DataFrame, prefix: str = "game") -> DataFrame:
+    """One row for each game of a page, by layout priority; then linked data goes through ``fold_linked``."""
+    linked = F.col("layout") == "linked"
+    key = F.when(linked, F.concat(F.lit("linked "), F.col("position").cast("string"))).otherwise(F.col("dedupe_key"))
+    at = F.struct(place_in(READING).alias("at"), "position")
+    row = F.struct(*GAME_COLUMNS)
+    # of a layout the last row of a key counts, but on scoreboards, which only fill in, the first
+    turn = F.when(F.col("layout") == "scoreboard", F.col("position")).otherwise(-F.col("position"))
+    shown = games.groupBy("page_id", key.alias("_key")).agg(F.min(at).alias("place"), F.min_by(row, F.struct(place_in(PRIORITY), turn)).alias("game"))
+    return fold_linked(shown, prefix)
 
 
 def parse_schedules(raw: DataFrame, prefix: str = "game") -> DataFrame:
-    """Games of all pages, one for each page and key, by layout priority.
+    """Games of all pages, one for each page and key.
 
-    Null and empty pages and pages of unknown layout give no rows. What linked data adds to a game
-    that another layout has goes through ``enriched``.
+    Null and empty pages, pages of unknown layout and pages that can't be read give no rows; see
+    ``outcomes`` for these.
     """
-    is_json = F.coalesce(F.ltrim("body").startswith("["), F.lit(False))
-    rows = platform_games(raw.where(is_json), prefix).unionByName(html_games(raw.where(~is_json), prefix))
-    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("layout"))
-    shown = keep_first(rows.where("layout != 'linked'").withColumn("_rank", rank), ["page_id", "dedupe_key"], ["_rank", "position"]).drop("_rank")
-    return enriched(shown, rows.where("layout = 'linked'"))
-
-
-def enriched(shown: DataFrame, linked: DataFrame) -> DataFrame:
-    """Linked data fills unknown dates and missing links of the first game of its page with the same teams; the rest is inserted."""
-    teams = lambda: F.array_sort(F.array(text.alnum(F.col("home_team_name")), text.alnum(F.col("away_team_name"))))
-    a = shown.withColumn("_teams", teams())
-    b = keep_first(linked, ["page_id", "dedupe_key"], ["position"]).withColumn("_teams", teams())
-    near = b.select("page_id", "_teams", F.col("date").alias("_date"), F.col("boxscore_url").alias("_box"), F.col("position").alias("_at"))
-    matched = a.join(near, ["page_id", "_teams"]).where((F.col("date") == F.col("_date")) | ~F.col("date_is_known"))
-    first = matched.groupBy("page_id", F.col("dedupe_key")).agg(F.min_by(F.struct("_date", "_box", "_at"), "_at").alias("m"))
-    filled = shown.join(first, ["page_id", "dedupe_key"], "left").withColumns(
-        {"date": F.when(~F.col("date_is_known"), F.coalesce("m._date", "date")).otherwise(F.col("date")), "boxscore_url": F.coalesce("boxscore_url", "m._box")}
-    )
-    key = text.dedupe_key(F.col("date"), F.col("home_team_name"), F.col("away_team_name"))
-    filled = filled.withColumns({"dedupe_key": key, "date_is_known": dates.is_known(F.col("date"))})
-    used = matched.select("page_id", F.col("_at").alias("position")).distinct()
-    rest = b.join(used, ["page_id", "position"], "left_anti")
-    return filled.select(*shown.columns).unionByName(rest.select(*shown.columns))
+    return merged(games_of(read_pages(raw), prefix), prefix)
+
+
+def outcomes(read: DataFrame) -> DataFrame:
+    """page_id, source_url, games (raw ones), outcome: ok, no games, or the error; one row for each page."""
+    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error")).when(F.size("found") > 0, "ok").otherwise("no games")
+    return read.select("page_id", "source_url", F.size("found").alias("games"), said.alias("outcome"))

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.functions import dates, numbers, status, text, urls
 from tallyfield.operators import identity, merge, quality, stats
 
+from . import page_queries  # noqa: F401  registers its queries
 from .analogues import GAMES_SQL, TOTALS_SQL, games, split, table, total_points, totals
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registered import ORACLES, QUERIES, query  # noqa: F401
 
 @query(f"WITH {TOTALS_SQL} SELECT * FROM totals")
 def season_totals(spark, sf_dir):
@@ -208,15 +193,15 @@ def team_set_equality(spark, sf_dir):
     return g.select(F.col("seq").alias("a"), "date", "teams").join(g.select(F.col("seq").alias("b"), "date", "teams"), ["date", "teams"]).where("a < b").select("a", "b")
 
 
-INITIALS_SQL = "list_aggregate(list_transform(string_split({0}, ' '), lambda w: CASE WHEN length(w) <= 3 THEN lower(w) ELSE lower(w[1:1]) END), 'string_agg', '')"
+INITIALS_SQL = "list_aggregate(list_transform(list_filter(regexp_split_to_array({0}, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) <= 3 THEN lower(w) ELSE lower(w[1:1]) END), 'string_agg', '')"
 
 
 @query(f"""WITH p AS (SELECT s_suppkey, s_nationkey, a.n_name AS left_name, b.n_name AS right_name, b.n_nationkey FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey),
-m AS (SELECT *, lower(replace(left_name, ' ', '')) AS x, lower(replace(right_name, ' ', '')) AS y FROM p)
+m AS (SELECT *, regexp_replace(lower(left_name), '[^a-z0-9]', '', 'g') AS x, regexp_replace(lower(right_name), '[^a-z0-9]', '', 'g') AS y FROM p)
 SELECT n_nationkey AS team, min(s_suppkey) AS s_suppkey FROM m WHERE contains(x, y) OR contains(y, x) OR {INITIALS_SQL.format("left_name")} = {INITIALS_SQL.format("right_name")} GROUP BY 1""")
 def fuzzy_match(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
-    left = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("left_name"), "n_regionkey")
+    left = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", F.col("n_name").alias("left_name")).agg(F.min("s_suppkey").alias("s_suppkey"))
     right = nation.select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("right_name"), "n_regionkey")
     return merge.first_match(left, right, ["n_regionkey"], "left_name", "right_name", "s_suppkey", "team").select("team", "s_suppkey")
 
