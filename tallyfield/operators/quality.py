@@ -27,6 +27,21 @@ def profile(games: DataFrame, date: Column, home_score: Column, away_score: Colu
     )
 
 
+def report(games: DataFrame, order: str, samples: int = 5) -> DataFrame:
+    """One row: the profile, percentages with one digit, and the first games of two kinds in file order."""
+    scored = F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
+    line = F.concat(F.col("date"), F.lit(" - "), F.col("home_team_name"), F.lit(" vs "), F.col("away_team_name"))
+    kinds = {"with_scores": scored, "final_without": (F.col("status") == "final") & ~scored}
+    out = profile(games, F.col("date"), F.col("home_score"), F.col("away_score"), F.col("status"))
+    share = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) * 100 / F.col("total")).otherwise(F.lit(0.0)), 1)
+    out = out.withColumns({"unknown_dates_percent": share("unknown_dates"), "scored_percent": share("scored")})
+    for name, kind in kinds.items():
+        first = games.where(kind).orderBy(order).limit(samples)
+        lines = first.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]).alias(name))
+        out = out.crossJoin(F.broadcast(lines))  # one row each
+    return out
+
+
 def clean_games(games: DataFrame, order: str, placeholders: dict[str, str] | None = None) -> DataFrame:
     """Without placeholder teams and placeholder dates (team pattern to date), last row of each rebuilt key, by date."""
     for side in ("home_team_name", "away_team_name"):

@@ -12,16 +12,45 @@ from tallyfield.functions.numbers import conversion, per_90, points
 COUNTERS = ["minutes", "goals", "assists", "shots", "shots_on_goal", "saves"]
 
 
-def season_totals(rows: DataFrame, key: str, sums: Mapping[str, Column], first: Sequence[str], order: Column, game: str = "game_id") -> DataFrame:
-    """games_played counts rows, distinct_games games; ``first`` columns come from the first row."""
+def season_totals(rows: DataFrame, key: str, sums: Mapping[str, Column], first: Sequence[str], order: Column, game: str | None = "game_id") -> DataFrame:
+    """games_played counts rows, distinct_games games (not at all without ``game``, which saves the shuffle of all rows); ``first`` columns come from the first row."""
     return rows.groupBy(key).agg(
         *[F.min_by(F.struct(c), order)[c].alias(c) for c in first],
         F.count("*").alias("games_played"),
-        F.count_distinct(game).alias("distinct_games"),
+        *([F.count_distinct(game).alias("distinct_games")] if game else []),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name) for name, c in sums.items()],
     )
 
 
+def stats_columns(rows: DataFrame, key: str, stats: Column, most: int = 200) -> DataFrame:
+    """An open-ended map of statistics as one column for each name (``stat_`` and the name), by name.
+
+    The names are found in a pass of their own; more than ``most`` of them are an error, as each is a column.
+    """
+    found = rows.select(F.explode(F.map_keys(stats)).alias("name")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} names of statistics")
+    return rows.select(key, *[F.try_element_at(stats, F.lit(n)).alias(f"stat_{n}") for n in sorted(r.name for r in found)])
+
+
+def team_cards(teams: DataFrame) -> DataFrame:
+    """What a team's card shows: name, id and conference."""
+    return teams.select(F.col("name_canonical").alias("name"), F.col("team_id").alias("id"), "conference")
+
+
+def first_rows(rows: DataFrame, order: str, many: int = 5) -> DataFrame:
+    """The first rows in file order, as a sample of a report."""
+    return rows.orderBy(order).limit(many)
+
+
+def legacy_sorted(rows: DataFrame, field: str, order: str, descending: bool = True) -> DataFrame:
+    """The older dashboard's order: text by the code units of its lower case, ties in file order; an unknown field sorts nothing."""
+    if field not in rows.columns:
+        return rows.orderBy(order)
+    value = F.lower(field) if dict(rows.dtypes)[field] == "string" else F.col(field)
+    return rows.orderBy(value.desc() if descending else value.asc(), order)
+
+
 def with_rates(totals: DataFrame) -> DataFrame:
     return totals.withColumns(
         {

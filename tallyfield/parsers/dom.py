@@ -70,7 +70,10 @@ class _Builder(HTMLParser):
 def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
+    unread = builder.rawdata if builder.cdata_elem else ""  # of a script that the page's end cuts off
     builder.close()
+    if unread:
+        builder.handle_data(unread)
     return builder.root
 
 

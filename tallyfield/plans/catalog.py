@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tallyfield.functions import dates, numbers, status, text, urls
 from tallyfield.operators import identity, merge, quality, stats
 
-from . import page_queries  # noqa: F401  registers its queries
+from . import page_queries, report_queries  # noqa: F401  register their queries
 from .analogues import GAMES_SQL, TOTALS_SQL, games, split, table, total_points, totals
 from .registered import ORACLES, QUERIES, query  # noqa: F401
+from .report_queries import greedy_team_date  # noqa: F401
 
 @query(f"WITH {TOTALS_SQL} SELECT * FROM totals")
 def season_totals(spark, sf_dir):
@@ -148,11 +149,6 @@ def first_origin(spark, sf_dir):
     return rows.groupBy("origin").agg(F.min_by("page_id", "page_id").alias("page_id"), F.count("*").alias("pages"))
 
 
-@query()
-def greedy_team_date(spark, sf_dir):
-    return merge.greedy_by_date(games(spark, sf_dir).select("seq", "date", "home", "away"), "date", "home", "away", "seq")
-
-
 @query(f"""WITH {OLD_NEW}, {LAST_OLD}, n AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY seq DESC) = 1),
 b AS (SELECT coalesce(n.dedupe_key, last.dedupe_key) AS dedupe_key, n.seq AS ns, last.seq AS os, n.status AS nst, last.status AS ost,
  coalesce(CAST(n.home_score AS VARCHAR), '') AS nh, coalesce(CAST(last.home_score AS VARCHAR), '') AS oh FROM n FULL JOIN last ON n.dedupe_key = last.dedupe_key)

@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.functions.numbers import parse_int
 
+from . import store
+
 GAMES = ["game_id", "date", "home_team_name", "away_team_name", "home_team_ranked", "away_team_ranked", "home_score", "away_score", "location_type", "status", "schedule_url", "boxscore_url", "dedupe_key"]
 PLAYER_STATS = ["game_id", "team_id", "player_name", "player_key", "jersey_number", "minutes", "goals", "assists", "shots", "shots_on_goal", "saves"]
 TEAM = "team_id string, name_canonical string, conference string, sport string, aliases array<string>, schedule_url string, platform_guess string, parser_key string"
 LINKS = "struct<schedule_url:string,boxscore_url:string,recap_url:string>"
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with a header and RFC 4180 quoting; every value is a string, blank lines are skipped."""
+def read_csv(spark: SparkSession, path: str, columns: list[str], multiline: bool = False) -> DataFrame:
+    """CSV files with a header and RFC 4180 quoting; every value is a string, blank lines are skipped.
+
+    Files are read in splits. Where values hold line breaks, ``multiline`` reads each file in one task.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
+    return spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("escape", '"').option("enforceSchema", False).csv(path)
+
+
+def read_csv_ordered(spark: SparkSession, path: str, columns: list[str], multiline: bool = False) -> DataFrame:
+    """As above, with ``seq``, which orders rows as the files have them: by file, by the offset of the split, and within it."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return read_csv(spark, path, columns, multiline).select("*", place.alias("seq"))
+
+
+def typed_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """CSV text in ``column`` as typed columns beside the others; ``reject`` holds a line that doesn't fit the schema."""
+    row = F.from_csv(column, f"{schema}, _reject string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_reject", "escape": '"'})
+    return lines.withColumn("_row", row).select(*[c for c in lines.columns if c != column], "_row.*").withColumnRenamed("_reject", "reject")
+
+
+def read_typed(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
+    """CSV files with typed columns; rows that don't fit keep what fits, and their line in ``reject``.
+
+    A missing path is an error, or, with ``missing_ok``, an empty table.
+    """
+    whole = f"{schema}, reject string"
+    try:
+        return spark.read.schema(whole).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "reject").option("escape", '"').csv(path)
+    except AnalysisException as error:
+        if not missing_ok or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
 
 
 def read_games(spark: SparkSession, path: str, season: str | None = None, team: str | None = None) -> DataFrame:
     """Typed games of a store partitioned by season, pruned to a season and filtered to a team."""
-    rows = spark.read.parquet(path)
+    rows = store.read(spark, path)
     if season is not None:
         rows = rows.where(F.col("season") == season)
     return rows if team is None else rows.where((F.col("home_team_name") == team) | (F.col("away_team_name") == team))
@@ -71,14 +101,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_seasons(games: DataFrame, path: str) -> None:
-    """Parquet by the season of each row; only seasons among the rows are replaced.
+    """Parquet by the season of each row; only seasons among the rows are replaced, in one switch (see ``store``).
 
-    The rows are first written beside the store, as they may come from it.
+    The rows may come from the store itself.
     """
-    spark = games.sparkSession
-    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    games.write.parquet(staged)
-    spark.read.schema(games.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+    store.replace_seasons(games, path)
 
 
 def dashboard_json(totals: DataFrame) -> DataFrame:

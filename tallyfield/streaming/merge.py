@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyfield.functions import dates
 from tallyfield.operators.merge import upsert_merge
+from tallyfield.sources.store import read
 from tallyfield.sources.tables import write_seasons
 
 
@@ -22,7 +23,7 @@ def merge_stream(games: DataFrame, store: str, checkpoint: str, key: str = "dedu
         rows = batch.withColumn("season", dates.season(F.col("date")))
         seasons = [r.season for r in rows.select("season").distinct().collect()]  # years: a few
         try:
-            existing = spark.read.parquet(store).where(F.col("season").isin(seasons)).select(*batch.columns)
+            existing = read(spark, store).where(F.col("season").isin(seasons)).select(*batch.columns)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
