@@ -60,7 +60,9 @@ CONTEXT = {
     "host": r"(?i)\b(?:ip|host|server|address|login|from)\b",
     "other": r"(?i)\b(?:order|invoice|version|isbn|ref|date|token|key|total|page|item|serial|code|build|id)",
 }
-FEATURES = ("kind", "base", "chars", "digits", "groups", "plus", "paren", "dots", "slashes", "luhn", "at", "spelt", "letters", "year", *CONTEXT)
+#: Sounds of a context: the characters before a span, and after it, that are letters, digits, or end a sentence.
+AROUND = {"letter_before": r"[A-Za-z] ?$", "mark_before": r"[:=#] ?$", "digit_before": r"[0-9][ ,;]$"}
+FEATURES = ("kind", "base", "chars", "digits", "groups", "first", "last", "longest", "plus", "paren", "dots", "colons", "dashes", "spaces", "slashes", "luhn", "at", "spelt", "letters", "year", *CONTEXT, *AROUND)
 SPAN = "struct<kind:int,start:int,end:int,value:string,base:int>"
 
 
@@ -127,22 +129,29 @@ def features(text: Column, x: Column) -> dict[str, Column]:
     near = F.substring(text, F.greatest(x["start"] - NEAR + 1, F.lit(1)), F.least(x["start"], F.lit(NEAR)))
     number = lambda c: c.cast("int")
     count = lambda pattern: F.char_length(F.regexp_replace(value, f"[^{pattern}]", ""))
+    groups = F.transform(F.filter(F.split(value, "[^0-9A-Za-z]+", -1), lambda g: g != ""), F.char_length)
     return {
         "kind": x["kind"],
         "base": x["base"],
         "chars": F.char_length(value),
         "digits": count("0-9"),
         "groups": F.size(F.split(value, "[^0-9]+", -1)),
+        "first": F.coalesce(F.try_element_at(groups, F.lit(1)), F.lit(0)),
+        "last": F.coalesce(F.try_element_at(groups, F.lit(-1)), F.lit(0)),
+        "longest": F.coalesce(F.array_max(groups), F.lit(0)),
         "plus": number(F.startswith(value, F.lit("+"))),
         "paren": count("("),
         "dots": count("."),
+        "colons": count(":"),
+        "dashes": count("\\-"),
+        "spaces": count(" "),
         "slashes": count("/"),
         "luhn": number(passes_luhn(value)),
         "at": number(F.contains(value, F.lit("@"))),
         "spelt": number(value.rlike(r"(?i)[(\[](?:at|dot)[)\]]|\[\.\]")),
         "letters": count("A-Za-z"),
         "year": number(value.rlike(r"(?:19|20)[0-9]{2}[-/.][01]?[0-9]|[0-3]?[0-9][-/.](?:19|20)[0-9]{2}")),
-        **{k: number(near.rlike(p)) for k, p in CONTEXT.items()},
+        **{k: number(near.rlike(p)) for k, p in (CONTEXT | AROUND).items()},
     }
 
 
@@ -173,23 +182,24 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def grow(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, depth: int, rate: float) -> tuple[Node, np.ndarray]:
-    """A regression tree for one boosting step, and what it adds to each row."""
+def grow(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, columns: list[int], depth: int, rate: float) -> tuple[Node, np.ndarray]:
+    """A regression tree for one boosting step, cut by ``columns`` only, and what it adds to each row."""
     value = -rate * slope.sum() / (weight.sum() + 1)
     best = (1e-6, 0, 0.0)
-    if depth:
-        whole = slope.sum() ** 2 / (weight.sum() + 1)
-        for f in range(x.shape[1]):
-            for cut in np.unique(x[:, f])[:-1]:
-                low = x[:, f] <= cut
-                if min(low.sum(), (~low).sum()) >= 4:
-                    gain = sum(slope[s].sum() ** 2 / (weight[s].sum() + 1) for s in (low, ~low)) - whole
-                    best = max(best, (gain, f, float(cut)))
+    for f in columns if depth else ():
+        order = np.argsort(x[:, f], kind="stable")
+        v, s, w = x[order, f], np.cumsum(slope[order]), np.cumsum(weight[order])
+        cuts = np.flatnonzero(v[1:] != v[:-1])
+        cuts = cuts[(cuts >= 3) & (cuts < len(v) - 4)]  # four rows at least on either side
+        if len(cuts):
+            gains = s[cuts] ** 2 / (w[cuts] + 1) + (s[-1] - s[cuts]) ** 2 / (w[-1] - w[cuts] + 1) - s[-1] ** 2 / (w[-1] + 1)
+            at = int(gains.argmax())
+            best = max(best, (float(gains[at]), f, float(v[cuts[at]])))
     gain, f, cut = best
     if gain <= 1e-6:
         return Node(value=float(value)), np.full(len(x), value)
     low = x[:, f] <= cut
-    (left, a), (right, b) = (grow(x[s], slope[s], weight[s], depth - 1, rate) for s in (low, ~low))
+    (left, a), (right, b) = (grow(x[s], slope[s], weight[s], columns, depth - 1, rate) for s in (low, ~low))
     out = np.empty(len(x))
     out[low], out[~low] = a, b
     return Node(FEATURES[f], cut, 0.0, left, right), out
@@ -206,7 +216,7 @@ def boost(x: np.ndarray, y: np.ndarray, family: np.ndarray, rounds: int = 25, de
     thresholds = []
     for kind in range(len(KINDS)):
         own = (x[:, 0] == kind) & (x[:, 1] == 0)
-        reached = {float(t): y[own & (p >= t)].mean() for t in np.linspace(0.5, 0.95, 10) if (own & (p >= t)).any()}
+        reached = {float(t): y[own & (p >= t)].mean() for t in np.linspace(0.2, 0.95, 16) if (own & (p >= t)).any()}
         wanted = min(precision, max(reached.values(), default=0.0))  # the lowest threshold that is precise enough, else the most precise
         thresholds.append(min((t for t, r in reached.items() if r >= wanted), default=0.95))
     prior, trees = fitted(x, y, rounds, depth, rate)
@@ -214,11 +224,14 @@ def boost(x: np.ndarray, y: np.ndarray, family: np.ndarray, rounds: int = 25, de
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float) -> tuple[float, list[Node]]:
+    """Each tree sees the kind and half of the other features, so that no single one decides about formats never seen."""
+    rng = np.random.default_rng(5)
     prior = float(np.log((y.mean() + 0.01) / (1.01 - y.mean())))
     total, trees = np.full(len(y), prior), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-total))
-        tree, gain = grow(x, p - y, p * (1 - p), depth, rate)
+        columns = [0, *sorted(rng.choice(np.arange(1, x.shape[1]), (x.shape[1] - 1) // 2, replace=False).tolist())]
+        tree, gain = grow(x, p - y, p * (1 - p), columns, depth, rate)
         trees.append(tree)
         total += gain
     return prior, trees
@@ -244,7 +257,7 @@ def families() -> list[tuple[str, Callable[[random.Random], str], tuple[str, ...
 
     def card(r: random.Random, between: str, digits: int = 16) -> str:
         n = luhn_complete(number(r, digits - 1))
-        return between.join([n[:4], n[4:10], n[10:]] if digits == 15 else [n[i : i + 4] for i in range(0, digits, 4)])
+        return between.join([n[:4], n[4:10], n[10:]] if digits < 16 else [n[i : i + 4] for i in range(0, digits, 4)])
 
     def masked(r: random.Random) -> str:
         n = number(r, 16)
@@ -271,12 +284,29 @@ def families() -> list[tuple[str, Callable[[random.Random], str], tuple[str, ...
         ("card", lambda r: card(r, "-"), pay),
         ("card", lambda r: card(r, "  "), pay),
         ("card", lambda r: card(r, "/"), pay),
+        ("card", lambda r: card(r, "-", 15), pay),
+        ("card", lambda r: card(r, ".", 15), pay),
+        ("card", lambda r: card(r, "", 15), pay[:-1]),
+        ("card", lambda r: card(r, " ", 14), pay),
+        ("card", lambda r: card(r, "/", 14), pay),
         ("ip", lambda r: octets(r, "[.]"), host),
         ("ip", lambda r: octets(r, " . "), host[:-1]),
         ("ip", lambda r: octets(r, "[dot]"), host),
         ("ip", lambda r: octets(r, "(dot)"), host),
         ("ip", lambda r: octets(r, "."), host),
         ("ip", lambda r: ":".join(f"{r.randint(0, 65535):x}" for _ in range(8)), host),
+        ("ip", lambda r: ":".join(f"{r.randint(0, 65535):04x}" for _ in range(8)), host),
+        ("ip", lambda r: ":".join(f"{r.randint(0, 65535):X}" for _ in range(8)), host),
+        ("ip", lambda r: ":".join(["2001", "db8", *(f"{r.choice((0, r.randint(0, 65535))):x}" for _ in range(6))]), host),
+        ("ip", lambda r: octets(r, " (dot) "), host),
+        ("ip", lambda r: octets(r, " [.] "), host),
+        ("email", lambda r: f"{word(r)}-{word(r)} (at) {word(r)}.{end(r)}", mail),
+        ("email", lambda r: f"{word(r)}_{word(r)} at {word(r)}.{word(r)} dot {end(r)}", mail[:-1]),
+        ("phone", lambda r: f"({number(r, 3)}) {number(r, 4)} {number(r, 4)}", call),
+        ("phone", lambda r: f"({number(r, 3)}).{number(r, 3)}.{number(r, 4)}", (*call, "")),
+        ("phone", lambda r: f"0{number(r, 3)}-{number(r, 6)}", call),
+        ("phone", lambda r: f"00{number(r, 1)}-{number(r, 3)}-{number(r, 3)}-{number(r, 4)}", call),
+        ("phone", lambda r: number(r, 10), call),
         ("", lambda r: f"{r.randint(1990, 2030)}-{number(r, 2)}-{number(r, 2)} {number(r, 2)}", ("date", "on", "")),
         ("", lambda r: f"{number(r, 2)}/{number(r, 2)}/{r.randint(1990, 2030)} {number(r, 4)}", ("date", "from", "")),
         ("", lambda r: f"{r.randint(1990, 2030)}.{number(r, 2)}.{number(r, 2)}", ("date", "")),
@@ -294,6 +324,15 @@ def families() -> list[tuple[str, Callable[[random.Random], str], tuple[str, ...
         ("", lambda r: f"{word(r)} at {word(r)}.{word(r)}", ("", "look", "stay")),
         ("", lambda r: "".join(r.choices("0123456789abcdef", k=40)), ("token =", "key", "")),
         ("", lambda r: ":".join(number(r, 2) for _ in range(8)), ("time", "code", "")),
+        ("", lambda r: ":".join(number(r, 1) for _ in range(8)), ("score", "code", "")),
+        ("", lambda r: ":".join(f"{r.randint(0, 255):02x}" for _ in range(8)), ("key", "token", "")),
+        ("", lambda r: f"979 {number(r, 2)} {number(r, 4)} {number(r, 3)} {number(r, 1)}", ("isbn", "book", "")),
+        ("", lambda r: f"978{number(r, 10)}", ("isbn", "")),
+        ("", lambda r: f"{number(r, 1)}.{number(r, 2)}.{number(r, 4)}.{number(r, 3)}", ("version", "build", "")),
+        ("", lambda r: f"{number(r, 2)}-{number(r, 6)}-{number(r, 2)}", ref),
+        ("", lambda r: f"{word(r)} at {word(r)}.{word(r)}.{word(r)}", ("", "was", "the")),
+        ("", lambda r: f"{word(r)} at {word(r)} . {word(r)}", ("", "was")),
+        ("", lambda r: f"{number(r, 4)}-{number(r, 4)}-{number(r, 4)}", (*ref, "")),
     ]
 
 
@@ -320,12 +359,18 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.concat(*base_spans(text).values()).alias("base"), F.concat(*loose_spans(text)).alias("loose"))
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """Without the looser spans that touch a base span, as these couldn't be added."""
+    free = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    return found.withColumn("loose", F.filter("loose", free))
+
+
 def measured(spark: SparkSession, made: list[tuple[str, str, str, int]]) -> np.ndarray:
     """Features of every candidate in sentences of ``examples``, then family and whether it is right."""
     lines = F.lit("\x01".join("\x02".join((t, v, str(KINDS.index(k) if k else -1), str(f))) for t, v, k, f in made))  # one literal plans faster than many
     parts = spark.range(1).select(F.explode(F.split(lines, "\x01")).alias("line")).select(F.split("line", "\x02").alias("p"))
     table = parts.select(*[F.col("p")[i].alias(c) for i, c in enumerate(("text", "truth"))], *[F.col("p")[i].cast("int").alias(c) for i, c in enumerate(("truth_kind", "family"), 2)])
-    rows = candidates(table).select("text", "truth", "truth_kind", "family", F.explode(F.concat("base", "loose")).alias("x"))
+    rows = apart(candidates(table)).select("text", "truth", "truth_kind", "family", F.explode(F.concat("base", "loose")).alias("x"))
     right = (F.col("x.kind") == F.col("truth_kind")) & F.contains(F.col("truth"), F.col("x.value")) & (F.char_length("x.value") * 2 > F.char_length("truth"))
     table = rows.select(*[c.cast("double").alias(k) for k, c in features(F.col("text"), F.col("x")).items()], F.col("family").cast("double").alias("family"), right.cast("double").alias("right"))
     return np.array(sorted(map(tuple, table.collect())))
@@ -345,9 +390,7 @@ def train(spark: SparkSession) -> Model:
 def find_spans(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``row`` (all columns), ``base`` and ``spans``: (kind, start, end, …) by kind, then start."""
     inner = rows.select(F.struct(*[named(c) for c in rows.columns]).alias("row"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    # what touches a base span could not be added
-    apart = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    found = candidates(inner).withColumn("loose", F.filter("loose", apart))
+    found = apart(candidates(inner))
 
     def scored(x: Column) -> Column:
         return F.struct(x.alias("span"), F.struct(*[c.alias(k) for k, c in features(F.col("text"), x).items()]).alias("f"))
