@@ -4,7 +4,8 @@ Every byte covered by a ``k``-byte string that also starts earlier (smaller docu
 same document and an earlier start) is removed; overlaps count, and strings are judged on the
 input. Texts that share strings are brought together as super-k-mers (see ``superkmers``). In a
 bucket the suffixes of what is left are sorted one suffix bucket at a time, split by sampled
-leading bytes, so that only one bucket's keys are in memory. Suffixes that agree on the first
+leading bytes, so that only one bucket's keys are in memory, and the cover's ranks, 0.8 bytes a byte
+of text. Spark's own buckets are as many as the input's bytes ask for. Suffixes that agree on the first
 ``HEAD`` bytes are told apart by ranks of a difference-cover sample, sorted beforehand: for any
 two positions some shift below the period puts both into the sample. Suffixes that agree on k
 bytes end up as neighbours, and a comparison of their bytes decides.
@@ -42,37 +43,47 @@ def shifts() -> np.ndarray:
 
 
 SHIFT = shifts()
+SLOT = np.searchsorted(COVER, np.arange(PERIOD)) % len(COVER)
 
 
 def eights(data: bytes) -> np.ndarray:
-    """The eight bytes from each position as one big-endian number; zeros follow the end."""
-    x = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint64)
-    for have in (1, 2, 4):
-        x = x[:-have] << np.uint64(8 * have) | x[have:]
-    return x[: len(data)]
+    """The eight bytes from each position as one big-endian number, but for the last seven; a view of the bytes that takes no memory."""
+    return np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+
+
+def heads(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return words[at].astype(np.uint64)
+
+
+def in_cover(at: np.ndarray) -> np.ndarray:
+    """The number that a cover's position has among these."""
+    return at // PERIOD * len(COVER) + SLOT[at % PERIOD]
 
 
 def cover_ranks(words: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """Ranks by ``depth`` bytes of the cover's positions below ``size``; others have none."""
-    at = np.arange(size)
-    at = at[np.isin(at % PERIOD, COVER)]
-    order = at[np.argsort(words[at], kind="stable")]
-    group = np.cumsum(np.concatenate([[0], words[order[1:]] != words[order[:-1]]]))
+    """Ranks by ``depth`` bytes of the cover's positions below ``size``, by ``in_cover``."""
+    periods = -(-size // PERIOD) + 1
+    at = (np.arange(periods)[:, None] * PERIOD + np.array(COVER)).ravel()
+    at = at[at < size]
+    first = heads(words, at)
+    order = at[np.argsort(first, kind="stable")]
+    first = heads(words, order)
+    group = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]]))
     for offset in range(8, depth, 8):
         tied = np.bincount(group)[group] > 1
         if not tied.any():
             break
         some, own = order[tied], group[tied]
-        again = np.lexsort((words[some + offset], own))
+        again = np.lexsort((heads(words, some + offset), own))
         order[tied] = some = some[again]
-        key = words[some + offset]
+        key = heads(words, some + offset)
         new = np.zeros(len(order), bool)
         new[np.flatnonzero(tied)[1:]] = (own[1:] == own[:-1]) & (key[1:] != key[:-1])
         new[1:] |= group[1:] != group[:-1]
         new[0] = False
         group = np.cumsum(new)
-    ranks = np.full(size + PERIOD + 1, -1, np.int64)
-    ranks[order] = group
+    ranks = np.full((periods + 1) * len(COVER), -1, np.int32)
+    ranks[in_cover(order)] = group
     return ranks
 
 
@@ -88,8 +99,9 @@ def network_sorted(groups: np.ndarray, ranks: np.ndarray) -> np.ndarray:
             right = left ^ step
             a, b = groups[:, left], groups[:, right]
             shift = SHIFT[a % PERIOD, b % PERIOD]
-            more = (b >= 0) & ((a < 0) | (ranks[a + shift] > ranks[b + shift]))
-            less = (a >= 0) & ((b < 0) | (ranks[a + shift] < ranks[b + shift]))
+            of_a, of_b = ranks[in_cover(a + shift)], ranks[in_cover(b + shift)]
+            more = (b >= 0) & ((a < 0) | (of_a > of_b))
+            less = (a >= 0) & ((b < 0) | (of_a < of_b))
             swap = np.where((left & size) == 0, more, less)
             groups[:, left], groups[:, right] = np.where(swap, b, a), np.where(swap, a, b)
             step //= 2
@@ -99,7 +111,7 @@ def network_sorted(groups: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 def sort_bucket(at: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Positions of one suffix bucket by their leading HEAD bytes, ties by cover ranks."""
-    keys = [words[at + 8 * k] for k in range(HEAD // 8)]
+    keys = [heads(words, at + 8 * k) for k in range(HEAD // 8)]
     order = np.lexsort(keys[::-1])
     at = at[order]
     equal = np.ones(len(at) - 1, bool)
@@ -119,13 +131,12 @@ def sort_bucket(at: np.ndarray, words: np.ndarray, ranks: np.ndarray) -> np.ndar
 
 def suffix_order(data: bytes, starts: np.ndarray, depth: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """The starts by their leading ``depth`` bytes, a suffix bucket at a time, and the eights of the data."""
-    words = eights(data + b"\0" * (depth + HEAD + PERIOD + 8))
+    words = eights(data + b"\0" * (depth + HEAD + 3 * PERIOD + 16))
     ranks = cover_ranks(words, len(data) + PERIOD, depth)
-    head = words[starts]
-    picked = np.sort(head[:: max(1, len(head) // 4096)])
-    splitters = np.unique(picked[:: max(1, len(picked) * block // max(1, len(head)))])
-    bucket = np.searchsorted(splitters, head, "right")
-    by_bucket = np.argsort(bucket, kind="stable")
+    picked = np.sort(heads(words, starts[:: max(1, len(starts) // 4096)]))
+    splitters = np.unique(picked[:: max(1, len(picked) * block // max(1, len(starts)))])
+    bucket = np.concatenate([np.searchsorted(splitters, heads(words, starts[i : i + block]), "right").astype(np.int16) for i in range(0, len(starts), block)])
+    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
     ends = np.cumsum(np.bincount(bucket))
     out, a = [], 0
     for b in ends.tolist():

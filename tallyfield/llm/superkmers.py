@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import id_and_text, partitions
 
 SAMPLE, HOT_STRINGS, PIECE = 97, 100_000, 1 << 18
+#: Bytes of text for each bucket, and of a slice whose strings a task holds before it sends them.
+BUCKET_BYTES, SLICE_BYTES = 4 << 20, 32 << 20
 MUL = np.uint64(0x9E3779B97F4A7C15)
 Repeats = Callable[[bytes, np.ndarray, np.ndarray], np.ndarray]
 
@@ -160,13 +162,27 @@ def super_kmers(symbols: Symbols, docs: list[tuple[int, bytes]], hot: frozenset[
                 yield from ((v, doc, base + s, n, part[x:y]) for v, s, n, x, y in zip(least.tolist(), start.tolist(), many.tolist(), a.tolist(), b.tolist(), strict=True))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """Documents with an id, so many at a time as SLICE_BYTES hold, one at least."""
+    for batch in batches:
+        docs, size = [], 0
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if d is not None:
+                docs.append((d, t.as_py()))
+                size += len(docs[-1][1])
+                if size >= SLICE_BYTES:
+                    yield docs
+                    docs, size = [], 0
+        if docs:
+            yield docs
+
+
 def send(symbols: Symbols, buckets: int, hot: frozenset[int]):
     """Rows (bucket, packed): compressed super-k-mers; a repeat of a string already sent has no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            docs = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d is not None]
+        for docs in slices(batches):
             docs.sort(key=lambda x: x[0])
             held: dict[int, list] = {}
             for v, doc, start, n, text in super_kmers(symbols, docs, hot):
@@ -276,7 +292,8 @@ def hot_minimisers(rows: DataFrame, symbols: Symbols, hot_strings: int) -> froze
 def covered(docs: DataFrame, symbols: Symbols, repeats: Repeats, hot_strings: int = HOT_STRINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start, end): symbols covered by windows that also start earlier; runs may overlap."""
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    buckets = 4 * partitions(docs.sparkSession)
+    size = rows.agg(F.sum(F.length("text"))).head()[0] or 0
+    buckets = max(4 * partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     sent = rows.mapInArrow(send(symbols, buckets, hot_minimisers(rows, symbols, hot_strings)), "bucket int, packed binary")
     return sent.groupBy("bucket").applyInArrow(meet(symbols, repeats), "doc_id long, start int, end int")
 
