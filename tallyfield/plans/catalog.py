@@ -185,7 +185,7 @@ def alias_resolution(spark, sf_dir):
 
 @query(f"WITH {GAMES_SQL} SELECT a.seq AS a, b.seq AS b FROM games a JOIN games b ON a.date = b.date AND a.seq < b.seq AND least(a.home, a.away) = least(b.home, b.away) AND greatest(a.home, a.away) = greatest(b.home, b.away)")
 def team_set_equality(spark, sf_dir):
-    g = games(spark, sf_dir).select("seq", "date", F.array_sort(F.array(text.hyphenated(F.lower("home")), text.hyphenated(F.lower("away")))).alias("teams"))
+    g = games(spark, sf_dir).select("seq", "date", text.team_set(F.col("home"), F.col("away")).alias("teams"))
     return g.select(F.col("seq").alias("a"), "date", "teams").join(g.select(F.col("seq").alias("b"), "date", "teams"), ["date", "teams"]).where("a < b").select("a", "b")
 
 
@@ -219,7 +219,7 @@ SELECT n.n_nationkey AS pos, p.page_id, coalesce(nullif(z.raw, ''), '/none') AS
 def zip_positions(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     positions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"))
-    rows = pages.select("page_id").crossJoin(F.broadcast(positions)).withColumn("link", F.lit("/none"))
+    rows = pages.select("page_id").crossJoin(identity.small_side(positions)).withColumn("link", F.lit("/none"))
     harvested = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("pos", "mapped"))
     return merge.zip_positions(rows, harvested, ["page_id", "pos"], "link", "mapped").select("pos", "page_id", "link")
 
@@ -252,6 +252,15 @@ def name_cleaning(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.clean_team_name(raw).alias("name"), text.is_ranked(raw).alias("ranked"), text.clean_player_name(F.concat(F.lit("#12 "), F.col("p_name"))).alias("player"), text.player_key(F.col("p_brand"), F.col("p_name")).alias("player_key"))
 
 
+@query("""SELECT p_partkey, trim(p_name) AS name, p_partkey % 6 BETWEEN 1 AND 4 AS ranked FROM part""")
+def rank_forms(spark, sf_dir):
+    """Each form of a rank, and a name said twice, gives the plain name."""
+    k, name = F.col("p_partkey") % 6, F.trim("p_name")
+    raw = F.concat(F.when(k == 1, "No. 12 ").when(k == 2, "no 7  ").when(k == 3, "#5 ").when(k == 4, "# 23 ").when(k == 5, F.concat(name, F.lit("  "))).otherwise("* "), name, F.lit(" **"))
+    raw = F.when(k == 5, F.concat(name, F.lit("  "), name)).otherwise(raw)
+    return table(spark, sf_dir, "part").select("p_partkey", text.clean_team_name(raw).alias("name"), text.is_ranked(raw).alias("ranked"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS long_form, '2025-' || strftime(o_orderdate, '%m-%d') AS short_form, strftime(o_orderdate, '%Y-%m-%d') AS iso, '2025-01-01' AS none FROM orders""")
 def date_parsing(spark, sf_dir):
     d, year = F.col("o_orderdate"), F.lit(2025)
