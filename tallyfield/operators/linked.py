@@ -30,8 +30,8 @@ def matches(game: Column, event: Column) -> Column:
     return F.coalesce((game["teams"] == event["teams"]) | (loose & same_date), F.lit(False))
 
 
-def filled(game: Column, event: Column, prefix: str) -> Column:
-    """The game with what the event adds."""
+def filled(game: Column, event: Column, names: list[str], prefix: str) -> Column:
+    """The game, whose row has the columns ``names``, with what the event adds."""
     g, e = game["row"], event["row"]
     fix = ~dates.is_known(g["date"]) & (F.coalesce(e["date"], F.lit("")) != "")
     date = F.when(fix, e["date"]).otherwise(g["date"])
@@ -48,13 +48,11 @@ def filled(game: Column, event: Column, prefix: str) -> Column:
         "status": F.when(g["status"].isin("scheduled", "unknown") & (e["status"] == "final"), e["status"]).otherwise(g["status"]),
         "boxscore_url": F.coalesce(F.nullif(g["boxscore_url"], F.lit("")), F.nullif(e["boxscore_url"], F.lit("")), g["boxscore_url"]),
     }
-    row = g
-    for name, value in new.items():
-        row = row.withField(name, value)
-    return game.withField("row", row)
+    row = F.struct(*[new.get(c, g[c]).alias(c) for c in names])
+    return F.struct(row.alias("row"), *[game[c].alias(c) for c in ("home", "away", "teams")])
 
 
-def step(games: Column, event: Column, prefix: str) -> Column:
+def step(games: Column, event: Column, names: list[str], prefix: str) -> Column:
     at = F.array_position(F.transform(games, lambda g: matches(g, event)), True)
 
     def placed(found: Column) -> Column:
@@ -68,7 +66,7 @@ def step(games: Column, event: Column, prefix: str) -> Column:
             stays = F.transform(games, lambda g, i: F.when(i + 1 == found, new).otherwise(g))
             return F.when(key(new) == key(old), stays).otherwise(moved)
 
-        return F.when(found == 0, F.concat(games, F.array(event))).otherwise(let(filled(old, event, prefix), with_new))
+        return F.when(found == 0, F.concat(games, F.array(event))).otherwise(let(filled(old, event, names, prefix), with_new))
 
     return let(at, placed)
 
@@ -78,6 +76,7 @@ def fold_linked(shown: DataFrame, prefix: str = "game") -> DataFrame:
     home, away = F.col("game.home_team_name"), F.col("game.away_team_name")
     entry = F.struct(F.col("game").alias("row"), text.name_forms(home).alias("home"), text.name_forms(away).alias("away"), text.team_set(home, away).alias("teams"))
     listed = lambda linked: F.transform(F.array_sort(F.collect_list(F.when((F.col("game.layout") == "linked") == linked, F.struct("place", entry.alias("entry"))))), lambda x: x["entry"])
+    names = shown.schema["game"].dataType.names
     pages = shown.groupBy("page_id").agg(listed(False).alias("games"), listed(True).alias("events"))
-    folded = F.when(F.size("events") == 0, F.col("games")).otherwise(F.aggregate("events", F.col("games"), lambda games, event: step(games, event, prefix)))
+    folded = F.when(F.size("events") == 0, F.col("games")).otherwise(F.aggregate("events", F.col("games"), lambda games, event: step(games, event, names, prefix)))
     return pages.select("page_id", F.explode(folded).alias("g")).select("page_id", "g.row.*")

@@ -16,7 +16,7 @@ COUNTERS = ["goals", "assists", "shots", "shots_on_goal", "saves"]
 
 def read_boxes(raw: DataFrame) -> DataFrame:
     """``raw`` (game_id, body) with ``cells``, raw player rows, and ``error`` instead of the body."""
-    read = F.udf(pages.box_cells, READ, useArrow=True)
+    read = F.udf(pages.box_cells, READ, useArrow=True).asNondeterministic()  # read once, whatever is filtered later
     return raw.withColumn("_read", read("body")).select(*[c for c in raw.columns if c != "body"], "_read.error", "_read.cells")
 
 

@@ -40,7 +40,8 @@ def read_pages(raw: DataFrame) -> DataFrame:
     is_json = F.coalesce(F.ltrim("body").startswith("["), F.lit(False))
     array = F.from_json(F.when(is_json, F.col("body")), PLATFORM_JSON)
     whole = F.forall(array, lambda g: g["id"].isNotNull() & g["date"].isNotNull() & g["type"].isNotNull() & g["opponent"]["name"].isNotNull())
-    read = F.udf(pages.read_schedule, READ, useArrow=True)(F.when(~is_json, F.col("body")))
+    # not deterministic, or else filters on what is found would read the page again
+    read = F.udf(pages.read_schedule, READ, useArrow=True).asNondeterministic()(F.when(~is_json, F.col("body")))
     rows = raw.select("page_id", "team_name", "source_url", F.col("default_year").cast("string").alias("default_year"), F.when(whole, array).alias("p"), read.alias("r"))
 
     def seen_base(i: Column) -> Column:  # the first schedule link so far tells the site

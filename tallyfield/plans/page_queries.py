@@ -184,7 +184,7 @@ def parsed_platform(spark, sf_dir):
     return shown(platform(orders(spark, sf_dir)))
 
 
-LINKED_SQL = f"""WITH {ORDERS_SQL}, e AS (SELECT page_id, team, club, min(k) AS k, arg_min(day, k) AS day, arg_min(side, k) AS side,
+LINKED_SQL = f"""WITH {ORDERS_SQL}, e AS (SELECT page_id, team, club, min(k) AS k, coalesce(arg_min(day, k) FILTER (strftime(day, '%m-%d') <> '01-01'), max_by(day, k)) AS day, arg_min(side, k) AS side,
   arg_min(k, k) FILTER (st = 'F') AS scored, max(st = 'F') AS done FROM src GROUP BY 1, 2, 3),
 g AS (SELECT *, strftime(day, '%Y-%m-%d') AS date, side <> 'away' AS at_home FROM e)
 SELECT page_id, date || '-' || replace(least(team, club), ' ', '-') || '-' || replace(greatest(team, club), ' ', '-') AS dedupe_key, date,
