@@ -17,6 +17,7 @@ travel one by one to buckets of their own content. At most (all strings / hot_st
 from __future__ import annotations
 
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -188,14 +189,15 @@ def send(symbols: Symbols, buckets: int, hot: frozenset[int]):
             for v, doc, start, n, text in super_kmers(symbols, docs, hot):
                 bucket = held.get(v % buckets)
                 if bucket is None:
-                    bucket = held[v % buckets] = [{}, [], []]
-                seen, meta, texts = bucket
+                    bucket = held[v % buckets] = ({}, [array(kind) for kind in "Iqiii"], [])
+                seen, columns, texts = bucket
                 number = seen.setdefault(text, len(texts))
                 if number == len(texts):
                     texts.append(text)
-                meta.append((v >> 32, doc, start, n, number))
+                for column, value in zip(columns, (v >> 32, doc, start, n, number), strict=True):
+                    column.append(value)
             for some in batched(list(held.items()), 64):
-                blobs = [squeeze.compress(blob(meta, texts)) for _, (_, meta, texts) in some]
+                blobs = [squeeze.compress(blob(columns, texts)) for _, (_, columns, texts) in some]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
     return run
@@ -206,10 +208,10 @@ def batched(items: list, n: int) -> Iterator[list]:
         yield items[i : i + n]
 
 
-def blob(meta: list[tuple], texts: list[bytes]) -> bytes:
-    v, doc, start, n, number = (np.array(x) for x in zip(*meta, strict=True))
-    body = [v.astype(np.uint32), np.diff(doc, prepend=0).astype(np.int64), start.astype(np.int32), n.astype(np.int32), number.astype(np.int32), np.array([len(t) for t in texts], np.int32)]
-    return struct.pack("<II", len(meta), len(texts)) + b"".join(x.tobytes() for x in body) + b"".join(texts)
+def blob(columns: list[array], texts: list[bytes]) -> bytes:
+    v, doc, *rest = columns
+    body = [v, np.diff(np.array(doc), prepend=0).astype(np.int64), *rest, np.array([len(t) for t in texts], np.int32)]
+    return struct.pack("<II", len(v), len(texts)) + b"".join(x.tobytes() for x in body) + b"".join(texts)
 
 
 def unblob(data: bytes) -> tuple[list[np.ndarray], list[bytes]]:
