@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -13,10 +14,15 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
 
-    @property
+    @cached_property
     def classes(self) -> set[str]:
         return set(self.attrs.get("class", "").split())
 
+    @cached_property
+    def descendants(self) -> list[Node]:
+        """All elements below, in page order; made once, as pages are only searched when whole."""
+        return list(self.below())
+
     def below(self) -> Iterator[Node]:
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
         while stack:
@@ -25,7 +31,7 @@ class Node:
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def all(self, *tags: str, cls: str | None = None, where: Callable[[Node], bool] | None = None) -> list[Node]:
-        return [n for n in self.below() if (not tags or n.tag in tags) and (cls is None or cls in n.classes) and (where is None or where(n))]
+        return [n for n in self.descendants if (not tags or n.tag in tags) and (cls is None or cls in n.classes) and (where is None or where(n))]
 
     def first(self, *tags: str, cls: str | None = None, where: Callable[[Node], bool] | None = None) -> Node | None:
         return next(iter(self.all(*tags, cls=cls, where=where)), None)
