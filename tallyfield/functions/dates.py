@@ -16,7 +16,15 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 def parse_date(text: Column, year: Column) -> Column:
     """ISO date, then month/day[/year], then month name and day [and year], then 1 January of ``year``."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\([^)]*\)", " ")
+    return parse_plain(without_notes(text), year)
+
+
+def without_notes(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\([^)]*\)", " ")
+
+
+def parse_plain(plain: Column, year: Column) -> Column:
+    """``parse_date`` of a text without notes in brackets."""
     default = year.cast("string")
     iso = _found(plain, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
     short = _found(plain, _SLASHED, 3)

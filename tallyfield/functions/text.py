@@ -18,25 +18,33 @@ def trimmed(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    return trimmed(F.regexp_replace(text, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))  # only spaces are left
 
 
 def hyphenated(text: Column) -> Column:
     return F.regexp_replace(text, f"[{WS}]+", "-")
 
 
-def _undoubled(text: Column) -> Column:
+def undoubled(text: Column) -> Column:
     return F.regexp_replace(collapsed(text), r"(?i)^(.+?) \1$", "$1")
 
 
 def is_ranked(text: Column) -> Column:
     """True for ``No. 7 Name``, ``No 7 Name``, ``#5 Name`` and ``# 5 Name``."""
-    return F.coalesce(_undoubled(text).rlike(r"(?i)^(?:No\.?|#) ?\d+ "), F.lit(False))
+    return starts_with_rank(undoubled(text))
+
+
+def starts_with_rank(once: Column) -> Column:
+    return F.coalesce(once.rlike(r"(?i)^(?:No\.?|#) ?\d+ "), F.lit(False))
 
 
 def clean_team_name(text: Column) -> Column:
     """One space between words, no exact doubling, no rank, no asterisks."""
-    unranked = F.regexp_replace(_undoubled(text), r"(?i)^(?:No\.?|#) ?\d+ +", "")
+    return without_rank(undoubled(text))
+
+
+def without_rank(once: Column) -> Column:
+    unranked = F.regexp_replace(once, r"(?i)^(?:No\.?|#) ?\d+ +", "")
     return collapsed(F.regexp_replace(unranked, r"\*+", " "))
 
 

@@ -34,8 +34,13 @@ def resolve_box_url(raw: Column, base: Column) -> Column:
 
 def resolve_url(href: Column, base: Column) -> Column:
     """As above, but all that starts with http stays, ``//x`` follows the origin, and without an origin the link stays."""
+    return resolve_from(href, origin(base))
+
+
+def resolve_from(href: Column, start: Column) -> Column:
+    """``resolve_url`` where the base's origin is known."""
     slash = F.when(F.startswith(href, F.lit("/")), F.lit("")).otherwise(F.lit("/"))
-    none, start = F.coalesce(href, F.lit("")) == "", origin(base)
+    none = F.coalesce(href, F.lit("")) == ""
     return F.when(none, F.lit(None).cast("string")).when(F.startswith(href, F.lit("http")) | (start == ""), href).otherwise(F.concat(start, slash, href))
 
 

@@ -61,63 +61,68 @@ def of_html_type() -> str:
     return f"array<struct<c:{cell},g:{game},base:string,position:int>>"
 
 
-def _named(context: Column, opponent: Column, is_home: Column) -> dict[str, Column]:
-    home, away = F.when(is_home, context).otherwise(opponent), F.when(is_home, opponent).otherwise(context)
-    return {
-        "home_team_name": text.clean_team_name(home),
-        "away_team_name": text.clean_team_name(away),
-        "home_team_ranked": text.is_ranked(home),
-        "away_team_ranked": text.is_ranked(away),
-    }
-
-
 def _said_date() -> Column:
-    """Dates of attributes, then an ISO date in the row's HTML, then the text; each counts while it isn't unknown.
-
-    A year within a table's date text beats the page's.
-    """
-    year = F.when(F.col("c.layout") == "table", F.nullif(F.regexp_extract("c.date_text", r"\b(20[0-9]{2})\b", 1), F.lit("")))
-    year = F.coalesce(year, F.col("year"))
+    """Dates of attributes, then an ISO date in the row's HTML, then the text; each counts while it isn't unknown."""
+    year = F.col("_year")
     tried = F.transform(F.split("c.date_attrs", "\n"), lambda x: dates.parse_date(x, year))
-    first = F.try_element_at(F.filter(tried, dates.is_known), F.lit(1))
+    first = F.when(F.col("c.date_attrs") != "", F.try_element_at(F.filter(tried, dates.is_known), F.lit(1)))
     iso = F.nullif(F.col("c.date_iso"), F.lit(""))
-    return F.coalesce(first, F.when(dates.is_known(iso), iso), dates.parse_date(F.col("c.date_text"), year))
+    return F.coalesce(first, F.when(dates.is_known(iso), iso), dates.parse_plain(F.col("_plain"), year))
+
 
+def _likes(context: Column) -> Column:
+    """Which names of linked data are likely the context team's."""
+    return F.struct(*[text.names_likely_match(F.col(f"c.{c}"), context).alias(c) for c in ("left", "right", "home", "away")])
 
-def _opponent(context: Column) -> tuple[Column, Column]:
+
+def _opponent() -> tuple[Column, Column]:
     """Opponent and whether the context team is at home, by linked data: its title says more than its teams; null if neither tells."""
-    like = lambda c: text.names_likely_match(F.col(c), context)
+    like = lambda c: F.col(f"_like.{c}")
     titled, versus = F.col("c.separator") != "", F.startswith("c.separator", F.lit("vs"))
-    right_only = like("c.right") & ~like("c.left")
+    right_only = like("right") & ~like("left")
     has = lambda c: F.col(c) != ""
-    away_only = ~(like("c.home") & has("c.away")) & like("c.away") & has("c.home")
-    by_teams = F.when(like("c.home") & has("c.away"), F.col("c.away")).when(away_only, F.col("c.home")).when(has("c.home") & has("c.away"), F.col("c.away"))
+    away_only = ~(like("home") & has("c.away")) & like("away") & has("c.home")
+    by_teams = F.when(like("home") & has("c.away"), F.col("c.away")).when(away_only, F.col("c.home")).when(has("c.home") & has("c.away"), F.col("c.away"))
     opponent = F.when(titled, F.when(right_only, F.col("c.left")).otherwise(F.col("c.right"))).otherwise(by_teams)
     home = F.when(titled, F.when(right_only, ~versus).otherwise(versus)).otherwise(~away_only)
     return opponent, home
 
 
 def games_of(read: DataFrame, prefix: str = "game") -> DataFrame:
-    """All games of the pages, as their layouts say them: page_id and GAME_COLUMNS."""
-    rows = read.select("page_id", "team_name", "source_url", "base_url", "year", F.explode("found").alias("f")).select("*", "f.*").drop("f")
-    context = F.coalesce("team_name", F.lit("Unknown Team"))
-    platform, linked = F.col("g").isNotNull(), F.coalesce(F.col("c.layout") == "linked", F.lit(False))
-    other, other_home = _opponent(context)
-    opponent = F.when(platform, F.coalesce("g.opponent.name", F.lit("Unknown Opponent"))).when(linked, other).otherwise(F.col("c.opponent"))
-    rows = rows.where(platform | ~linked | F.coalesce((other != "") & ~other.rlike("(?i)^(unknown opponent|away team|home team)$"), F.lit(False)))
-    side = F.coalesce("g.location_indicator", F.lit("H"))
+    """All games of the pages, as their layouts say them: page_id and GAME_COLUMNS.
+
+    What several columns need is a column of an earlier step, so that it is worked out once a game,
+    and what only depends on the page once a page.
+    """
+    rows = read.select("page_id", "team_name", "source_url", urls.origin(F.col("base_url")).alias("_site"), "year", F.explode("found").alias("f")).select("*", "f.*").drop("f")
+    platform, linked, context, opponent, is_home = (F.col(c) for c in ("_platform", "_linked", "_context", "_opponent", "_is_home"))
+    # a year within a table's date text beats the page's
+    in_text = F.when(F.col("c.layout") == "table", F.nullif(F.regexp_extract("c.date_text", r"\b(20[0-9]{2})\b", 1), F.lit("")))
+    rows = rows.withColumns({"_platform": F.col("g").isNotNull(), "_linked": F.coalesce(F.col("c.layout") == "linked", F.lit(False)), "_context": F.coalesce("team_name", F.lit("Unknown Team"))})
+    rows = rows.withColumns({"_like": F.when(linked, _likes(context)), "_side": F.coalesce("g.location_indicator", F.lit("H")), "_year": F.coalesce(in_text, "year"), "_plain": F.when(~linked & ~platform, dates.without_notes(F.col("c.date_text")))})
+    other, other_home = _opponent()
+    side = F.col("_side")
     at_home = F.when(side == "N", F.coalesce("g.neutral_hometeam", F.lit(False))).otherwise(side == "H")
-    is_home = F.when(platform, at_home).when(linked, other_home).otherwise(~F.col("c.side").isin("away", "neutral"))
+    rows = rows.withColumns(
+        {
+            "_opponent": F.when(platform, F.coalesce("g.opponent.name", F.lit("Unknown Opponent"))).when(linked, other).otherwise(F.col("c.opponent")),
+            "_is_home": F.when(platform, at_home).when(linked, other_home).otherwise(~F.col("c.side").isin("away", "neutral")),
+        }
+    )
+    rows = rows.where(~linked | F.coalesce((opponent != "") & ~opponent.rlike("(?i)^(unknown opponent|away team|home team)$"), F.lit(False)))
+    rows = rows.withColumns({"_home": text.undoubled(F.when(is_home, context).otherwise(opponent)), "_away": text.undoubled(F.when(is_home, opponent).otherwise(context))})
     result = F.when(platform, F.concat_ws("-", "g.result.team_score", "g.result.opponent_score")).otherwise(F.col("c.result"))
     score = status.scores(result, is_home | linked)  # linked data names the home team's first
     date = F.when(platform, F.coalesce(dates.utc_date(F.col("g.date")), F.concat(F.substring("g.date", 1, 4), F.lit("-01-01")))).when(linked, F.col("c.date_text")).otherwise(_said_date())
-    place = F.when(platform, status.location(side)).when(linked, F.when(other_home, "home").otherwise("away")).otherwise(F.col("c.side"))
+    place = F.when(platform, status.location(side)).when(linked, F.when(is_home, "home").otherwise("away")).otherwise(F.col("c.side"))
     said = F.when(platform, status.status_of_code(F.col("g.status"), F.col("g.result.status"))).otherwise(status.status_of_text(F.col("c.result")))
     box = F.col("g.result.boxscore")
     of_platform = F.when(box == "", None).when(F.startswith(box, F.lit("http")), box).otherwise(F.concat("base", box))
     rows = rows.withColumns(
-        {"date": date, **_named(context, opponent, is_home), "home_score": score["home"], "away_score": score["away"], "location_type": place, "status": said}
-        | {"schedule_url": F.when(platform, F.coalesce("g.schedule.url", "source_url")).otherwise(F.col("source_url")), "boxscore_url": F.when(platform, of_platform).otherwise(urls.resolve_url(F.col("c.box"), F.col("base_url")))}
+        {"date": date, "home_score": score["home"], "away_score": score["away"], "location_type": place, "status": said}
+        | {f"{t}_team_name": text.without_rank(F.col(f"_{t}")) for t in ("home", "away")}
+        | {f"{t}_team_ranked": text.starts_with_rank(F.col(f"_{t}")) for t in ("home", "away")}
+        | {"schedule_url": F.when(platform, F.coalesce("g.schedule.url", "source_url")).otherwise(F.col("source_url")), "boxscore_url": F.when(platform, of_platform).otherwise(urls.resolve_from(F.col("c.box"), F.col("_site")))}
         | {"layout": F.when(platform, "platform").otherwise(F.col("c.layout"))}
     )
     d, h, a = F.col("date"), F.col("home_team_name"), F.col("away_team_name")
