@@ -13,7 +13,8 @@ from .text import WS, trimmed
 
 def parse_int(text: Column) -> Column:
     """The leading integer, null where there is none."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), f"^[{WS}]*([+-]?[0-9]+)", 1).try_cast("bigint")
+    digits = F.regexp_extract(F.coalesce(text, F.lit("")), f"^[{WS}]*([+-]?[0-9]+)", 1)
+    return F.nullif(digits, F.lit("")).try_cast("bigint")  # a failed cast costs an exception
 
 
 def int_or_zero(text: Column) -> Column:

@@ -6,6 +6,10 @@ failed pages and counters all come from those rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ PLATFORM_JSON = (
     "opponent:struct<name:string,image:string>,result:struct<status:string,team_score:string,opponent_score:string,boxscore:string>,schedule:struct<url:string>>>"
 )
 GAME_COLUMNS = ["game_id", "date", "date_is_known", "home_team_name", "away_team_name", "home_team_ranked", "away_team_ranked", "home_score", "away_score", "location_type", "status", "schedule_url", "boxscore_url", "dedupe_key", "layout", "position"]
+#: Pages that a worker reads before it hands on what it found.
+PAGES_AT_ONCE = 100
 #: Later layouts of this list give way to earlier ones for the same game of a page.
 PRIORITY = ["payload", "platform", "table", "list", "cards", "scoreboard", "linked"]
 #: The order in which a page's layouts are read, which is the order of its games.
@@ -41,12 +47,14 @@ def read_pages(raw: DataFrame) -> DataFrame:
     array = F.from_json(F.when(is_json, F.col("body")), PLATFORM_JSON)
     whole = F.forall(array, lambda g: g["id"].isNotNull() & g["date"].isNotNull() & g["type"].isNotNull() & g["opponent"]["name"].isNotNull())
     # not deterministic, or else filters on what is found would read the page again
-    read = F.udf(pages.read_schedule, READ, useArrow=True).asNondeterministic()(F.when(~is_json, F.col("body")))
+    read = F.arrow_udf(_read_html, READ).asNondeterministic()(F.when(~is_json, F.col("body")))
     rows = raw.select("page_id", "team_name", "source_url", F.col("default_year").cast("string").alias("default_year"), F.when(whole, array).alias("p"), read.alias("r"))
 
-    def seen_base(i: Column) -> Column:  # the first schedule link so far tells the site
-        origins = F.transform(F.slice("p", F.lit(1), i + 1), lambda x: urls.origin(x["schedule"]["url"]))
-        return F.coalesce(F.try_element_at(F.filter(origins, lambda o: o != ""), F.lit(1)), F.lit(""))
+    # the first schedule link so far tells the site; each link is looked at once a page
+    rows = rows.withColumn("origins", F.transform("p", lambda x: urls.origin(x["schedule"]["url"])))
+    rows = rows.withColumn("first", F.nullif(F.array_position(F.transform("origins", lambda o: o != ""), True), F.lit(0)))
+    rows = rows.withColumn("site", F.try_element_at("origins", F.col("first").cast("int")))
+    seen_base = lambda i: F.coalesce(F.when(i + 1 >= F.col("first"), F.col("site")), F.lit(""))
 
     no_cell, no_game = F.lit(None).cast(CELLS.removeprefix("array<").removesuffix(">")), F.lit(None).cast(PLATFORM_JSON.removeprefix("array<").removesuffix(">"))
     of_html = F.transform("r.cells", lambda c: F.struct(c.alias("c"), no_game.alias("g"), F.lit("").alias("base"), c["position"].alias("position")))
@@ -56,6 +64,24 @@ def read_pages(raw: DataFrame) -> DataFrame:
     return rows.select("page_id", "team_name", "source_url", base.alias("base_url"), F.coalesce("r.year", "default_year").alias("year"), F.col("r.error").alias("error"), "found")
 
 
+def _slices(bodies: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """Few pages at a time, so that what a worker holds beside a batch's pages doesn't grow with their number."""
+    for batch in bodies:
+        for at in range(0, len(batch), PAGES_AT_ONCE):
+            yield batch.slice(at, PAGES_AT_ONCE).to_pylist()
+
+
+def _read_html(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``pages.read_schedule`` of each page, as READ."""
+    for some in _slices(bodies):
+        years, links, errors, cells = zip(*map(pages.read_schedule, some), strict=True)
+        ends = pa.array(accumulate(map(len, cells), initial=0), pa.int32())
+        found = list(zip(*(game for of_page in cells for game in of_page), strict=True)) or [()] * (len(pages.GAME) + 2)
+        columns = [pa.array(x, pa.int32() if i == 1 else pa.string()) for i, x in enumerate(found)]
+        games = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names=["layout", "position", *pages.GAME]))
+        yield pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (years, links, errors)] + [games], names=["year", "canonical", "error", "cells"])
+
+
 def of_html_type() -> str:
     cell, game = CELLS.removeprefix("array<").removesuffix(">"), PLATFORM_JSON.removeprefix("array<").removesuffix(">")
     return f"array<struct<c:{cell},g:{game},base:string,position:int>>"
@@ -70,9 +96,18 @@ def _said_date() -> Column:
     return F.coalesce(first, F.when(dates.is_known(iso), iso), dates.parse_plain(F.col("_plain"), year))
 
 
-def _likes(context: Column) -> Column:
-    """Which names of linked data are likely the context team's."""
-    return F.struct(*[text.names_likely_match(F.col(f"c.{c}"), context).alias(c) for c in ("left", "right", "home", "away")])
+#: Cells of linked data that name teams.
+NAMES = ["left", "right", "home", "away"]
+
+
+def _likes(forms: str, context: str) -> Column:
+    """Which names of linked data are likely the context team's, by the columns of their forms."""
+    return F.struct(*[text.forms_likely_match(F.col(f"{forms}.{c}"), F.col(context)).alias(c) for c in NAMES])
+
+
+def _named(name: Column) -> Column:
+    """A team's name as shown, and whether a rank stood before it; ``name`` without doubling."""
+    return F.struct(text.without_rank(name).alias("name"), text.starts_with_rank(name).alias("ranked"))
 
 
 def _opponent() -> tuple[Column, Column]:
@@ -94,12 +129,17 @@ def games_of(read: DataFrame, prefix: str = "game") -> DataFrame:
     What several columns need is a column of an earlier step, so that it is worked out once a game,
     and what only depends on the page once a page.
     """
-    rows = read.select("page_id", "team_name", "source_url", urls.origin(F.col("base_url")).alias("_site"), "year", F.explode("found").alias("f")).select("*", "f.*").drop("f")
-    platform, linked, context, opponent, is_home = (F.col(c) for c in ("_platform", "_linked", "_context", "_opponent", "_is_home"))
+    rows = read.withColumns({"_context": F.coalesce("team_name", F.lit("Unknown Team")), "_site": urls.origin(F.col("base_url"))})
+    rows = rows.withColumns({"_context_once": text.undoubled(F.col("_context")), "_context_forms": text.name_forms(F.col("_context"))}).withColumn("_context_named", _named(F.col("_context_once")))
+    rows = rows.select("page_id", "source_url", "_context", "_context_forms", "_context_named", "_site", "year", F.explode_outer("found").alias("f"))
+    # an outer explode, as for an inner one Spark adds a filter on the array that makes it a second time
+    rows = rows.where("f.position is not null").select("*", "f.*").drop("f")
+    platform, linked, opponent, is_home = (F.col(c) for c in ("_platform", "_linked", "_opponent", "_is_home"))
     # a year within a table's date text beats the page's
     in_text = F.when(F.col("c.layout") == "table", F.nullif(F.regexp_extract("c.date_text", r"\b(20[0-9]{2})\b", 1), F.lit("")))
-    rows = rows.withColumns({"_platform": F.col("g").isNotNull(), "_linked": F.coalesce(F.col("c.layout") == "linked", F.lit(False)), "_context": F.coalesce("team_name", F.lit("Unknown Team"))})
-    rows = rows.withColumns({"_like": F.when(linked, _likes(context)), "_side": F.coalesce("g.location_indicator", F.lit("H")), "_year": F.coalesce(in_text, "year"), "_plain": F.when(~linked & ~platform, dates.without_notes(F.col("c.date_text")))})
+    rows = rows.withColumns({"_platform": F.col("g").isNotNull(), "_linked": F.coalesce(F.col("c.layout") == "linked", F.lit(False))})
+    rows = rows.withColumn("_forms", F.when(linked, F.struct(*[text.name_forms(F.col(f"c.{c}")).alias(c) for c in NAMES])))
+    rows = rows.withColumns({"_like": F.when(linked, _likes("_forms", "_context_forms")), "_side": F.coalesce("g.location_indicator", F.lit("H")), "_year": F.coalesce(in_text, "year"), "_plain": F.when(~linked & ~platform, dates.without_notes(F.col("c.date_text")))})
     other, other_home = _opponent()
     side = F.col("_side")
     at_home = F.when(side == "N", F.coalesce("g.neutral_hometeam", F.lit(False))).otherwise(side == "H")
@@ -109,8 +149,12 @@ def games_of(read: DataFrame, prefix: str = "game") -> DataFrame:
             "_is_home": F.when(platform, at_home).when(linked, other_home).otherwise(~F.col("c.side").isin("away", "neutral")),
         }
     )
+    # a number that isn't deterministic keeps the filter here, or else it would work out the opponent again
+    rows = rows.withColumn("_here", F.monotonically_increasing_id()).where("_here >= 0")
     rows = rows.where(~linked | F.coalesce((opponent != "") & ~opponent.rlike("(?i)^(unknown opponent|away team|home team)$"), F.lit(False)))
-    rows = rows.withColumns({"_home": text.undoubled(F.when(is_home, context).otherwise(opponent)), "_away": text.undoubled(F.when(is_home, opponent).otherwise(context))})
+    rows = rows.withColumn("_opponent_once", text.undoubled(opponent)).withColumn("_opponent_named", _named(F.col("_opponent_once")))
+    of_home = lambda c: F.when(is_home, F.col(f"_context_named.{c}")).otherwise(F.col(f"_opponent_named.{c}"))
+    of_away = lambda c: F.when(is_home, F.col(f"_opponent_named.{c}")).otherwise(F.col(f"_context_named.{c}"))
     result = F.when(platform, F.concat_ws("-", "g.result.team_score", "g.result.opponent_score")).otherwise(F.col("c.result"))
     score = status.scores(result, is_home | linked)  # linked data names the home team's first
     date = F.when(platform, F.coalesce(dates.utc_date(F.col("g.date")), F.concat(F.substring("g.date", 1, 4), F.lit("-01-01")))).when(linked, F.col("c.date_text")).otherwise(_said_date())
@@ -120,8 +164,7 @@ def games_of(read: DataFrame, prefix: str = "game") -> DataFrame:
     of_platform = F.when(box == "", None).when(F.startswith(box, F.lit("http")), box).otherwise(F.concat("base", box))
     rows = rows.withColumns(
         {"date": date, "home_score": score["home"], "away_score": score["away"], "location_type": place, "status": said}
-        | {f"{t}_team_name": text.without_rank(F.col(f"_{t}")) for t in ("home", "away")}
-        | {f"{t}_team_ranked": text.starts_with_rank(F.col(f"_{t}")) for t in ("home", "away")}
+        | {f"{t}_team_{c}": of(c) for t, of in (("home", of_home), ("away", of_away)) for c in ("name", "ranked")}
         | {"schedule_url": F.when(platform, F.coalesce("g.schedule.url", "source_url")).otherwise(F.col("source_url")), "boxscore_url": F.when(platform, of_platform).otherwise(urls.resolve_from(F.col("c.box"), F.col("_site")))}
         | {"layout": F.when(platform, "platform").otherwise(F.col("c.layout"))}
     )
@@ -138,7 +181,8 @@ def merged(games: DataFrame, prefix: str = "game") -> DataFrame:
     row = F.struct(*GAME_COLUMNS)
     # of a layout the last row of a key counts, but on scoreboards, which only fill in, the first
     turn = F.when(F.col("layout") == "scoreboard", F.col("position")).otherwise(-F.col("position"))
-    shown = games.groupBy("page_id", key.alias("_key")).agg(F.min(at).alias("place"), F.min_by(row, F.struct(place_in(PRIORITY), turn)).alias("game"))
+    # pages go to their tasks once, for both groupings
+    shown = games.repartition("page_id").groupBy("page_id", key.alias("_key")).agg(F.min(at).alias("place"), F.min_by(row, F.struct(place_in(PRIORITY), turn)).alias("game"))
     return fold_linked(shown, prefix)
 
 

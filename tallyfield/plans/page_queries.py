@@ -54,7 +54,7 @@ FROM g QUALIFY row_number() OVER (PARTITION BY page_id, dedupe_key ORDER BY k {w
 
 def pages_of(rows: DataFrame, snippet: Column, before: str = "", after: str = "", separator: str = "") -> DataFrame:
     """A page for each customer from a snippet for each order, in their order."""
-    made = rows.groupBy("page_id", "team").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", snippet.alias("s")))), lambda x: x["s"]).alias("parts"))
+    made = rows.groupBy("page_id", "team").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", snippet.alias("s")))), lambda x: x["s"]).alias("parts"))
     source = F.concat(F.lit("https://t"), (F.col("page_id") % 50).cast("string"), F.lit(".example.com/sports/soccer/schedule"))
     body = F.concat(F.lit(before), F.array_join("parts", separator), F.lit(after))
     return made.select("page_id", body.alias("body"), F.col("team").alias("team_name"), source.alias("source_url"), F.lit(2025).alias("default_year"))
@@ -112,7 +112,7 @@ def payload(rows: DataFrame) -> DataFrame:
     box = F.when((F.col("box") != "") & (F.col("k") % 4 == 0), text('["', F.col("box"), '"]')).otherwise(box)
     rest = text(score(5), ",", score(4), ",", box, ',"', F.col("result"), '"')
     ranked = ranked.select("page_id", "team", "k", F.struct(at(0).alias("at"), text(objects, values, rest).alias("game")).alias("s"))
-    made = ranked.groupBy("page_id", "team").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("parts"))
+    made = ranked.groupBy("page_id", "team").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("parts"))
     join = lambda name: F.array_join(F.transform("parts", lambda x: x["s"][name]), ",")
     data = lambda n: text(f'{{"schedule":{n},"note":"]}}[\\""}},{{"schedules":{n + 1}}},{{"x":{n + 2}}},{{"games":{n + 3}}},[', join("at"), "],", join("game"), "]")
     script = F.when(F.col("page_id") % 2 == 0, text('<script type="application/json" id="__NUXT_DATA__">[', data(1), "</script>")).otherwise(
@@ -217,7 +217,7 @@ def linked_merge(spark, sf_dir):
     k = F.col("k")
     row = text("<tr><td>", F.when(k % 4 == 1, "TBA").otherwise(day("MM/dd/yyyy")), "</td><td></td><td>", F.when(k % 5 == 2, "").otherwise(F.col("word")), " ", F.col("club"), "</td><td></td><td></td></tr>")
     events = F.when(k % 7 != 3, text('<script type="application/ld+json">', event(day("yyyy-MM-dd'T'19:00")), "</script>")).otherwise("")
-    both = first.withColumns({"row": row, "event": events}).groupBy("page_id", "team").agg(F.array_sort(F.collect_list(F.struct("k", "row", "event"))).alias("parts"))
+    both = first.withColumns({"row": row, "event": events}).groupBy("page_id", "team").agg(F.sort_array(F.collect_list(F.struct("k", "row", "event"))).alias("parts"))
     part = lambda name: F.array_join(F.transform("parts", lambda x: x[name]), "")
     raw = both.select("page_id", text(part("event"), HEADS, part("row"), "</tbody></table>").alias("body"), F.col("team").alias("team_name"), F.lit("https://t.example.com/").alias("source_url"), F.lit(2025).alias("default_year"))
     return schedule.parse_schedules(raw).select(*[c for c in SHOWN if c != "boxscore_url"], "game_id")
