@@ -27,7 +27,7 @@ def matches(game: Column, event: Column) -> Column:
     likely = lambda a, b: text.forms_likely_match(game[a], event[b])
     same_date = (game["row"]["date"] == event["row"]["date"]) | ~dates.is_known(game["row"]["date"])
     loose = (likely("home", "home") & likely("away", "away")) | (likely("home", "away") & likely("away", "home"))
-    return F.coalesce((game["teams"] == event["teams"]) | (loose & same_date), F.lit(False))
+    return F.coalesce((game["teams"] == event["teams"]) | (same_date & loose), F.lit(False))  # the cheaper test first
 
 
 def filled(game: Column, event: Column, names: list[str], prefix: str) -> Column:
@@ -73,10 +73,16 @@ def step(games: Column, event: Column, names: list[str], prefix: str) -> Column:
 
 def fold_linked(shown: DataFrame, prefix: str = "game") -> DataFrame:
     """``shown``: (page_id, place, game), where linked data has the layout ``linked``; the games of each page, with ``page_id``."""
-    home, away = F.col("game.home_team_name"), F.col("game.away_team_name")
-    entry = F.struct(F.col("game").alias("row"), text.name_forms(home).alias("home"), text.name_forms(away).alias("away"), text.team_set(home, away).alias("teams"))
-    listed = lambda linked: F.transform(F.array_sort(F.collect_list(F.when((F.col("game.layout") == "linked") == linked, F.struct("place", entry.alias("entry"))))), lambda x: x["entry"])
     names = shown.schema["game"].dataType.names
+    listed = lambda linked: F.sort_array(F.collect_list(F.when((F.col("game.layout") == "linked") == linked, F.struct("place", "game"))))
     pages = shown.groupBy("page_id").agg(listed(False).alias("games"), listed(True).alias("events"))
-    folded = F.when(F.size("events") == 0, F.col("games")).otherwise(F.aggregate("events", F.col("games"), lambda games, event: step(games, event, names, prefix)))
-    return pages.select("page_id", F.explode(folded).alias("g")).select("page_id", "g.row.*")
+
+    def entry(game: Column) -> Column:
+        home, away = game["home_team_name"], game["away_team_name"]
+        return F.struct(game.alias("row"), text.name_forms(home).alias("home"), text.name_forms(away).alias("away"), text.team_set(home, away).alias("teams"))
+
+    # only pages with events need more of a game than its row
+    entries = lambda listed: F.transform(listed, lambda x: entry(x["game"]))
+    fold = F.aggregate(entries("events"), entries("games"), lambda games, event: step(games, event, names, prefix))
+    rows = F.when(F.size("events") == 0, F.transform("games", lambda x: x["game"])).otherwise(F.transform(fold, lambda x: x["row"]))
+    return pages.select("page_id", F.explode(rows).alias("g")).select("page_id", "g.*")
