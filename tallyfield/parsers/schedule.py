@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ PLATFORM_JSON = (
     "opponent:struct<name:string,image:string>,result:struct<status:string,team_score:string,opponent_score:string,boxscore:string>,schedule:struct<url:string>>>"
 )
 GAME_COLUMNS = ["game_id", "date", "date_is_known", "home_team_name", "away_team_name", "home_team_ranked", "away_team_ranked", "home_score", "away_score", "location_type", "status", "schedule_url", "boxscore_url", "dedupe_key", "layout", "position"]
-#: Pages that a worker reads before it hands on what it found.
-PAGES_AT_ONCE = 100
+#: Pages that a worker reads before it hands on what it found, and their bytes; a page beyond these is read alone.
+PAGES_AT_ONCE, BYTES_AT_ONCE = 100, 500_000
 #: Later layouts of this list give way to earlier ones for the same game of a page.
 PRIORITY = ["payload", "platform", "table", "list", "cards", "scoreboard", "linked"]
 #: The order in which a page's layouts are read, which is the order of its games.
@@ -65,10 +66,16 @@ def read_pages(raw: DataFrame) -> DataFrame:
 
 
 def _slices(bodies: Iterator[pa.Array]) -> Iterator[list[str | None]]:
-    """Few pages at a time, so that what a worker holds beside a batch's pages doesn't grow with their number."""
+    """Few pages at a time, so that what a worker holds beside a batch's pages grows neither with their number nor with their length."""
     for batch in bodies:
-        for at in range(0, len(batch), PAGES_AT_ONCE):
-            yield batch.slice(at, PAGES_AT_ONCE).to_pylist()
+        start = size = 0
+        for at, n in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
+            if at > start and (at - start == PAGES_AT_ONCE or size + n > BYTES_AT_ONCE):
+                yield batch.slice(start, at - start).to_pylist()
+                start, size = at, 0
+            size += n
+        if start < len(batch):
+            yield batch.slice(start).to_pylist()
 
 
 def _read_html(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:

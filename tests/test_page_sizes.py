@@ -1,7 +1,9 @@
 """That page queries do their work once and in bounded memory: plain markup, slices of pages, bases, filters and the fold."""
 
+import gc
 import json
 import random
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -76,6 +78,34 @@ def test_a_reader_hands_on_few_pages():
     assert got == [{"year": y, "canonical": c, "error": e, "cells": [dict(zip(names, g, strict=True)) for g in games]} for y, c, e, games in want]
 
 
+def test_a_reader_holds_no_more_for_more_long_pages():
+    page = '<div class="c-scoreboard__item"><img alt="Yale"><span>2025-09-01</span></div>' * 2000
+
+    def peak(count):
+        bodies = pa.array([None, *[page] * count])
+        tracemalloc.start()
+        sizes = [len(part) for part in schedule._read_html(iter([bodies, bodies[:0]]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sizes) == count + 1 and (max(sizes) - 1) * len(page) <= schedule.BYTES_AT_ONCE
+        return most
+
+    peak(1)
+    assert peak(30) < 1.5 * peak(5)
+
+
+def test_a_page_is_freed_once_read():
+    html, count = CARD * 50, lambda: sum(isinstance(x, dom.Node) for x in gc.get_objects())
+    gc.collect()
+    before = count()
+    gc.disable()
+    try:
+        assert len(pages.read_schedule(html)[3]) == 50
+        assert count() <= before
+    finally:
+        gc.enable()
+
+
 def plan(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
 
