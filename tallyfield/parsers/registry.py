@@ -83,5 +83,5 @@ def read_routed(pages: DataFrame, registry: Registry) -> DataFrame:
 
 def outcomes(read: DataFrame) -> DataFrame:
     """As ``schedule.outcomes``, with ``no parser`` for pages that have none."""
-    said = F.when(F.col("route").isNull(), "no parser").when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error")).when(F.size("found") > 0, "ok").otherwise("no games")
-    return read.select("page_id", "source_url", F.size("found").alias("games"), said.alias("outcome"), "route")
+    said = F.when(F.col("route").isNull(), "no parser").otherwise(F.col("outcome"))
+    return schedule.outcomes(read, "route").select("page_id", "source_url", "games", said.alias("outcome"), "route")

@@ -202,7 +202,9 @@ def parse_schedules(raw: DataFrame, prefix: str = "game") -> DataFrame:
     return merged(games_of(read_pages(raw), prefix), prefix)
 
 
-def outcomes(read: DataFrame) -> DataFrame:
-    """page_id, source_url, games (raw ones), outcome: ok, no games, or the error; one row for each page."""
-    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error")).when(F.size("found") > 0, "ok").otherwise("no games")
-    return read.select("page_id", "source_url", F.size("found").alias("games"), said.alias("outcome"))
+def outcomes(read: DataFrame, *kept: str) -> DataFrame:
+    """page_id, source_url, games (raw ones), outcome: ok, no games, or the error, and columns to keep; one row for each page."""
+    # a number that isn't deterministic keeps filters on outcomes here, or else they would read each page's games again for each of its games
+    rows = read.select("page_id", "source_url", "error", F.size("found").alias("games"), *kept, F.monotonically_increasing_id().alias("_here")).where("_here >= 0")
+    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error")).when(F.col("games") > 0, "ok").otherwise("no games")
+    return rows.select("page_id", "source_url", "games", said.alias("outcome"), *kept)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyfield.operators.linked import fold_linked
-from tallyfield.parsers import dom, pages, schedule
+from tallyfield.parsers import dom, pages, registry, schedule
 
 SCHEMA = "page_id string, body string, team_name string, source_url string, default_year int"
 CARD = '<div class="s-game-card"><p class="s-text-paragraph-bold">Yale</p><span class="s-stamp__text">at</span><a href="/boxscore/1">Box</a></div>'
@@ -128,6 +128,20 @@ def test_a_filter_does_not_work_out_names_again(spark):
     assert len(filters) == 1 and "_opponent" in filters[0] and "lower(" not in filters[0]
 
 
+def test_a_filter_on_outcomes_does_not_read_pages_again(spark):
+    game = lambda i: {"id": i, "date": "2025-09-01T10:00:00Z", "type": "g", "opponent": {"name": f"Club {i}"}, "schedule": {"url": "https://a.example/x"}}
+    bodies = {"array": json.dumps([game(i) for i in range(3)]), "spoiled": json.dumps([game(1), {"id": 2}]), "cards": CARD * 2, "none": "<p>none", "null": None, "deep": '<script type="application/ld+json">' + "[" * 100_000 + "</script>"}
+    raw = spark.createDataFrame([(k, body, "Vale", "", 2025) for k, body in bodies.items()], SCHEMA)
+    known = registry.Registry()
+    read = registry.read_routed(raw.withColumn("route", F.when(F.col("page_id") != "null", "sidearm")), known)
+    for found, of_null in ((schedule.outcomes(schedule.read_pages(raw)), "no games"), (registry.outcomes(read), "no parser")):
+        said = {r.page_id: (r.games, r.outcome.split(":")[0]) for r in found.collect()}
+        assert said == {"array": (3, "ok"), "spoiled": (0, "no games"), "cards": (2, "ok"), "none": (0, "no games"), "null": (0, of_null), "deep": (0, "error")}
+        bad = found.where("outcome <> 'ok'")
+        assert {r.page_id for r in bad.collect()} == {"spoiled", "none", "null", "deep"}
+        assert not any("Filter" in x and ("from_json" in x or "transform" in x) for x in plan(bad))
+
+
 def test_names_are_taken_apart_only_on_pages_with_events(spark):
     games = schedule.games_of(schedule.read_pages(spark.createDataFrame([], SCHEMA)))
     shown = games.select("page_id", F.struct("position").alias("place"), F.struct(*schedule.GAME_COLUMNS).alias("game"))
